@@ -16,10 +16,18 @@ from colonnade.functions.numbers import finite_or_null
 ROW = "_row"
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Days, months and zone-less texts are UTC throughout."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+# Days, months and zone-less texts are UTC throughout. The code size limit is the size up
+# to which the JVM compiles a method; without it, wide parsing stages run interpreted.
+SESSION = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    for key, value in SESSION.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -61,7 +69,7 @@ class Dataset:
     ) -> "Dataset":
         """Wrap any DataFrame. ``order_by`` must be a unique integer key; without it the
         order of the scan is used."""
-        use_utc(frame.sparkSession)
+        prepared(frame.sparkSession)
         names = columns or [c for c in frame.columns if c != ROW]
         if ROW in names:
             raise DatasetError("reserved_name", f"The name {ROW} is reserved.")

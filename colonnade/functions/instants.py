@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from colonnade.functions.text import stripped
+from colonnade.functions.text import SPACE_CLASS, stripped
 
 # Fixed value: full calendar dates, optionally followed by a time.
 DATE_PATTERN = r"(?:\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4})(?:[ T].+)?"
@@ -29,16 +29,24 @@ def _year_first(text: Column) -> Column:
     )
 
 
+def _rewritten(text: Column) -> Column:
+    """Any accepted layout in the one Spark's cast knows."""
+    spaced = F.regexp_replace(_year_first(stripped(text)), r"\A(\S+?)[ T]\s*", "$1 ")
+    # The cast wants seconds before an offset, and offsets with minutes.
+    timed = F.regexp_replace(spaced, r"( \d{1,2}:\d{2})(?= ?(?:[+-]|Z|UTC))", "$1:00")
+    return F.regexp_replace(timed, r"(:\d{2}(?:\.\d+)? ?[+-]\d{2})\z", "$1:00")
+
+
 def instant_from_text(text: Column) -> Column:
-    """Timestamp, or null when the text is no full calendar date."""
-    clean = stripped(text)
-    accepted = clean.rlike(rf"\A(?:{DATE_PATTERN})\z") & ~clean.startswith("0000")
-    single_space = F.regexp_replace(_year_first(clean), r"\A(\S+?)[ T]\s*", "$1 ")
-    # An offset may be given in hours only.
-    single_space = F.regexp_replace(single_space, r"(:\d{2}(?:\.\d+)?[+-]\d{2})\z", "$1:00")
+    """Timestamp, or null when the text is no full calendar date.
+
+    ISO text is cast as it is; only what the cast refuses is rewritten.
+    """
+    accepted = text.rlike(rf"\A{SPACE_CLASS}*+(?!0000)(?:{DATE_PATTERN}){SPACE_CLASS}*+\z")
     parsed = F.coalesce(
-        single_space.try_cast("timestamp"),
-        F.try_to_timestamp(single_space, F.lit(CLOCK_12H)),
+        text.try_cast("timestamp"),
+        _rewritten(text).try_cast("timestamp"),
+        F.try_to_timestamp(_rewritten(text), F.lit(CLOCK_12H)),
     )
     return F.when(accepted, parsed)
 

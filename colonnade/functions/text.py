@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Every character Python calls whitespace; Spark's own trim removes spaces only.
 WHITESPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+# The same characters as a class for regular expressions.
+SPACE_CLASS = "[" + "".join(rf"\x{{{ord(char):x}}}" for char in WHITESPACE) + "]"
 
 
 def stripped(text: Column) -> Column:

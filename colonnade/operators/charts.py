@@ -38,7 +38,7 @@ def category_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame
         position = source.by_name[x]["position"]
         chosen = source.freq.where((F.col("position") == position) & ~is_blank(F.col("value")))
         return chosen.select(F.col("value").alias("x"), F.lit(1.0).alias("y"), "n")
-    ds = source.ds if isinstance(source, Profile) else source
+    ds = source.rows if isinstance(source, Profile) else source
     number = ds.number(y) if y else F.lit(1.0)
     rows = ds.frame.select(ds.label(x).alias("x"), number.alias("y"), F.lit(1).alias("n"))
     return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -66,7 +66,7 @@ def dated_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame:
         chosen = source.freq.where(F.col("position") == position)
         rows = chosen.select(instant_from_text(F.col("value")).alias("t"), F.lit(1.0).alias("y"), "n")
     else:
-        ds = source.ds if isinstance(source, Profile) else source
+        ds = source.rows if isinstance(source, Profile) else source
         number = ds.number(y) if y else F.lit(1.0)
         rows = ds.frame.select(ds.instant(x).alias("t"), number.alias("y"), F.lit(1).alias("n"))
     return rows.where(F.col("t").isNotNull() & F.col("y").isNotNull())

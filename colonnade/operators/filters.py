@@ -57,7 +57,7 @@ def filter_fields(profile: Profile) -> DataFrame:
     present = profile.freq.where(F.col("position").isin(labelled) & ~is_blank(F.col("value")))
     values = present.groupBy("position").agg(F.array_sort(F.collect_list("value")).alias("values"))
     kind = F.when(F.col("position").isin(ranged), F.col("detected_type")).otherwise("categorical")
-    chosen = profile.known_counts().where(F.col("position").isin(labelled + ranged))
+    chosen = profile.counts.where(F.col("position").isin(labelled + ranged))
     return chosen.join(F.broadcast(values), "position", "left").select(
         "position", "name", kind.alias("kind"),
         F.coalesce("values", F.array().cast("array<string>")).alias("values"),

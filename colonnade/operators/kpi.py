@@ -25,7 +25,7 @@ def kpi_values(profile: Profile) -> list[tuple[str, float]]:
     telling = [f["name"] for f in numeric if f["numeric_valid"] and suggests_kpi(f["name"])]
     if telling:
         mean = total_of(F.col("total"), F.col("numeric_valid"))
-        row = profile.known_counts().where(F.col("name") == telling[0]).select(mean.alias("m")).first()
+        row = profile.counts.where(F.col("name") == telling[0]).select(mean.alias("m")).first()
         values[3] = (f"Average {telling[0]}", row["m"])
     return values
 

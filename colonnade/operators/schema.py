@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from colonnade.config import ProfileConfig
-from colonnade.dataset import Dataset
+from colonnade.dataset import ROW, Dataset
 from colonnade.functions import instant_from_text, is_blank, nanosecond_tail
 from colonnade.functions import number_from_text, percentage, stripped
 from colonnade.functions.names import BOOLEAN_DIGITS, BOOLEAN_WORDS, suggests_boolean
@@ -121,28 +121,56 @@ class Profile:
         self.frozen_types = frozen_types
         self.freq = written(value_frequencies(ds))
 
-    @cached_property
-    def counts(self) -> DataFrame:
+    def _planned_counts(self) -> DataFrame:
         """One row per column, also for a table without rows."""
         ds = self.ds
-        entries = small_table(ds.spark, 
-            [(i, name) for i, name in enumerate(ds.columns)], "position int, name string"
-        )
-        counted = entries.join(F.broadcast(column_counts(self.freq)), "position", "left").fillna(
-            0,
-            ["rows", "missing_count", "unique_count", "numeric_valid", "datetime_valid", "not_word", "not_digit"],
+        entries = small_table(
+            ds.spark, [(i, name) for i, name in enumerate(ds.columns)], "position int, name string"
         )
+        counters = [
+            "rows", "missing_count", "unique_count", "numeric_valid", "datetime_valid",
+            "not_word", "not_digit",
+        ]
+        counted = entries.join(F.broadcast(column_counts(self.freq)), "position", "left")
+        counted = counted.fillna(0, counters)
         if self.frozen_types is None:
             kind = detected_type(ds, self.config)
         else:
             types = [F.lit(self.frozen_types[name]) for name in ds.columns]
             kind = F.element_at(F.array(*types), F.col("position") + 1)
         share = percentage(F.col("missing_count"), F.col("rows"))
-        return counted.withColumn("detected_type", kind).withColumn("missing_percentage", share)
+        return counted.withColumns({"detected_type": kind, "missing_percentage": share})
 
     @cached_property
     def facts(self) -> list[Row]:
-        return self.counts.orderBy("position").collect()
+        """The counts of at most 200 columns, in column order."""
+        planned = self._planned_counts()
+        rows = sorted(planned.collect(), key=lambda row: row["position"])
+        self._schema = planned.schema
+        return rows
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``facts`` as a table, to join without computing them again."""
+        return small_table(self.ds.spark, self.facts, self._schema)
+
+    @cached_property
+    def rows(self) -> Dataset:
+        """The rows with cells parsed as their column's type, for row-level operators.
+
+        Text is parsed once and written as typed columns, so that every later scan reads
+        just the columns it needs and no cell is parsed again. Tables whose numbers and
+        dates are stored as such need no copy. Columns of type text take no part.
+        """
+        ds = self.ds
+        parsed = {"numeric": ds.number, "datetime": ds.instant, "categorical": ds.label, "boolean": ds.label}
+        kept = [f for f in self.facts if f["detected_type"] in parsed]
+        if not any(ds.is_text(f["name"]) for f in kept if f["detected_type"] in ("numeric", "datetime")):
+            return ds
+        cells = [parsed[f["detected_type"]](f["name"]).alias(f["name"]) for f in kept]
+        frame = written(ds.frame.select(ROW, *cells))
+        types = {field.name: field.dataType for field in frame.schema.fields if field.name != ROW}
+        return Dataset(frame, tuple(types), types)
 
     @cached_property
     def by_name(self) -> dict[str, Row]:
@@ -162,10 +190,6 @@ class Profile:
             return fact[f"{kind}_valid"]
         return fact["rows"] - fact["missing_count"]
 
-    def known_counts(self) -> DataFrame:
-        """``counts`` from the rows already on the driver, to join without recomputing."""
-        return small_table(self.ds.spark, self.facts, self.counts.schema)
-
 
 def type_table(profile: Profile) -> DataFrame:
     return profile.counts.select("position", "name", "detected_type")

@@ -78,7 +78,7 @@ def numeric_statistics(profile: Profile) -> DataFrame:
         "position int, scale double",
     )
     centred = (
-        profile.known_counts()
+        profile.counts
         .join(F.broadcast(scales), "position")
         .select("position", "scale", total_of(F.col("total"), F.col("numeric_valid")).alias("mean"))
     )
@@ -98,7 +98,7 @@ def numeric_statistics(profile: Profile) -> DataFrame:
         finite_or_null(F.col("mean")).alias("mean"),
         finite_or_null(deviation).alias("standard_deviation"),
     )
-    base = profile.known_counts().where(F.col("detected_type") == "numeric")
+    base = profile.counts.where(F.col("detected_type") == "numeric")
     return (
         base.join(F.broadcast(moments), "position", "left")
         .join(F.broadcast(quartiles(profile)), "position", "left")
@@ -128,7 +128,7 @@ def categorical_statistics(profile: Profile) -> DataFrame:
     facts = profile.of_type("categorical", "boolean", "text")
     chosen = profile.freq.where(F.col("position").isin([f["position"] for f in facts]))
     top = gathered(top_values(chosen), ["value", "n"], "top_categories")
-    base = profile.known_counts().where(F.col("detected_type").isin("categorical", "boolean", "text"))
+    base = profile.counts.where(F.col("detected_type").isin("categorical", "boolean", "text"))
     best = F.get("top_categories", F.lit(0))
     return base.join(F.broadcast(top), "position", "left").select(
         "position", "name", (F.col("rows") - F.col("missing_count")).alias("count"),
@@ -146,7 +146,7 @@ def column_statistics(profile: Profile) -> DataFrame:
     combined = numeric.unionByName(dates, allowMissingColumns=True).unionByName(
         labels, allowMissingColumns=True
     )
-    base = profile.known_counts().select(
+    base = profile.counts.select(
         "position", "name", "detected_type", F.col("missing_count").alias("missing"),
         "missing_percentage", "unique_count",
     )

@@ -15,7 +15,7 @@ from colonnade.operators.schema import Profile, column_metadata
 from colonnade.plans import charts, insights, recommend
 from colonnade.plans.records import CHART_SCHEMA, POINT_SCHEMA, ChartData, Insight
 from colonnade.plans.records import Recommendation, point_rows
-from colonnade.small import small_table
+from colonnade.small import small_table, together
 
 
 @dataclass
@@ -85,20 +85,23 @@ class Analysis:
         types = {f["name"]: f["detected_type"] for f in base.profile.facts}
         subset = filters.filtered(base.dataset, rules)
         profile = Profile(subset, base.profile.config, types)
-        kept = recommend.recounted(
-            base.recommendations, valid_row_counts(profile, base.recommendations)
-        )
-        return Analysis(
-            profile, kept, charts.prepare_charts(profile, kept),
-            insights.generate_insights(profile), base,
+        profile.rows  # Written before the actions below share it.
+        counts, points, found = together(
+            [
+                lambda: valid_row_counts(profile, base.recommendations),
+                lambda: charts.prepare_charts(profile, base.recommendations),
+                lambda: insights.generate_insights(profile),
+            ]
         )
+        kept = recommend.recounted(base.recommendations, counts)
+        return Analysis(profile, kept, points, found, base)
 
 
 def valid_row_counts(profile: Profile, items: list[Recommendation]) -> list[int]:
     """Rows valid on all axes of each chart, in one scan."""
     if not items:
         return []
-    ds = profile.ds
+    ds = profile.rows
 
     def axis(item: Recommendation):
         if item.chart_type in ("scatter", "histogram"):
@@ -132,7 +135,11 @@ def analyze(ds: Dataset, config: ProfileConfig = ProfileConfig()) -> Analysis:
     ))
     facts = recommend.collect_pairs(profile, measured + others, pairs)
     chosen = recommend.build(profile, kept, facts) if kept else []
-    return Analysis(
-        profile, chosen, charts.prepare_charts(profile, chosen),
-        insights.generate_insights(profile, facts),
+    profile.rows  # Written before the actions below share it.
+    points, found = together(
+        [
+            lambda: charts.prepare_charts(profile, chosen),
+            lambda: insights.generate_insights(profile, facts),
+        ]
     )
+    return Analysis(profile, chosen, points, found)

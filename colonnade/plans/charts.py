@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from colonnade.functions.labels import short
 from colonnade.operators import charts
 from colonnade.operators.schema import Profile
 from colonnade.plans.records import ChartData, Recommendation
+from colonnade.small import together
 
 # Notes shown under the charts.
 NOTE_EMPTY = "No valid rows are available for this chart."
@@ -27,7 +29,7 @@ ERROR_SIZE = f"The chart has more than {C.MAX_POINTS} points."
 def _points(profile: Profile, item: Recommendation) -> tuple[list[tuple], str]:
     x, y = item.x_column, item.y_column
     if item.chart_type == "scatter":
-        frame, total = charts.scatter_sample(profile.ds, x, y, profile.config.rank_buffer)
+        frame, total = charts.scatter_sample(profile.rows, x, y, profile.config.rank_buffer)
         rows = frame.orderBy("position").collect()
         note = NOTE_SAMPLE if total > C.MAX_POINTS else NOTE_ALL_PAIRS
         return [(r["x"], r["y"]) for r in rows], note.format(shown=len(rows), total=total)
@@ -63,4 +65,4 @@ def prepare_chart(profile: Profile, index: int, item: Recommendation) -> ChartDa
 
 
 def prepare_charts(profile: Profile, items: list[Recommendation]) -> list[ChartData]:
-    return [prepare_chart(profile, i, item) for i, item in enumerate(items)]
+    return together([partial(prepare_chart, profile, i, item) for i, item in enumerate(items)])

@@ -116,7 +116,7 @@ def collect_pairs(
         return {}
     place = {operand.name: i for i, operand in enumerate(operands)}
     indexed = [(place[x], place[y]) for x, y in pairs]
-    rows = pair_facts(profile.ds, operands, indexed).collect()
+    rows = pair_facts(profile.rows, operands, indexed).collect()
     return {
         pairs[row["pair"]]: PairFact(
             row["valid_rows"],

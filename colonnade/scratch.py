@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh place for one table in the shared folder."""
+    return f"{shared_folder(spark)}/colonnade-{uuid.uuid4().hex}"
+
+
 def written(frame: DataFrame) -> DataFrame:
     """Write once, read many times: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/colonnade-{uuid.uuid4().hex}"
+    path = new_path(spark)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

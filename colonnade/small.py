@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,3 +22,10 @@ def small_table(
     ]
     table = pa.Table.from_pylist(records, schema=to_arrow_schema(struct))
     return spark.createDataFrame(table, schema=struct)
+
+
+def together(actions: list[Callable]) -> list:
+    """Results of independent Spark actions, submitted at the same time so that short
+    jobs do not leave the cluster idle."""
+    with ThreadPoolExecutor(max_workers=max(1, min(8, len(actions)))) as pool:
+        return [future.result() for future in [pool.submit(action) for action in actions]]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade import config as C
-from colonnade.dataset import ROW, Dataset, use_utc
+from colonnade.dataset import ROW, Dataset, prepared
 from colonnade.errors import DatasetError
 from colonnade.functions import stripped
 from colonnade.sources.layout import HEAD_LINES, Layout, find_layout
@@ -133,7 +133,7 @@ def read_delimited(
     splits when no record can span lines; otherwise (or on request) each file is one
     task, as Spark's multi-line mode requires.
     """
-    use_utc(spark)
+    prepared(spark)
     listed = _listing(spark, path)
     size = listed["size"] or 0
     if size == 0:
@@ -239,6 +239,18 @@ def _validated(rows: DataFrame, layout: Layout, utf8: bool) -> tuple[DataFrame,
     return rows, kept
 
 
+def malformed_records(
+    spark: SparkSession, path: str, width: int, delimiter: str = ","
+) -> DataFrame:
+    """``(record, fields)`` of all one-line records whose field count is not ``width``."""
+    record = F.col("value")
+    outside = F.regexp_replace(record, '"[^"]*"', "")
+    separators = F.length(outside) - F.length(F.replace(outside, F.lit(delimiter), F.lit("")))
+    rows = spark.read.text(path).where(record != "")
+    counted = rows.select(record.alias("record"), (separators + 1).alias("fields"))
+    return counted.where(F.col("fields") != width)
+
+
 def write_delimited(frame: DataFrame, path: str, delimiter: str = ",") -> None:
     """Write text columns as part files with headers that ``read_delimited`` accepts."""
     writer = frame.write.option("header", True).option("sep", delimiter).option("quote", '"')
