@@ -335,6 +335,8 @@ ORACLE = {
     "natural_sort": """SELECT row_number() OVER (ORDER BY CAST(replace(p_brand, 'Brand#', '') AS INT) DESC, p_partkey) - 1 AS position,
       p_partkey, p_brand FROM part ORDER BY position LIMIT 50""",
     "page_rows": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 75",
+    "page_rows_deep": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderkey LIMIT 50 OFFSET 10000",
+    "saved_analysis": f"SELECT 'shipments' AS dataset_id, 'project' AS project_id, * FROM ({SHIP}, {recommendation_sql()})",
     "catalog_listing": f"""SELECT c_custkey AS project_id, c_nationkey AS owner_id, c_acctbal AS updated_at, c_name, filename, row_count,
         column_count, (SELECT count(*) FROM customer WHERE c_nationkey = 7) AS total
       FROM (SELECT * FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC, c_custkey LIMIT 12 OFFSET 12)

@@ -379,6 +379,11 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return page.select("c_custkey", "c_name", "c_mktsegment")
 
 
+def page_rows_deep(spark: SparkSession, folder: str) -> DataFrame:
+    ds = typed(spark, folder, "orders")
+    return browse.page(ds, 200, 50, "o_orderpriority").select("o_orderkey", "o_orderpriority")
+
+
 # Saved analyses. Customers stand in for projects, nations for owners, and each
 # customer's first order for a dataset.
 
@@ -447,8 +452,8 @@ def filtered_analysis_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 def saved_analysis(spark: SparkSession, folder: str) -> DataFrame:
     saved = catalog.Catalog(spark, new_path(spark))
-    saved.save(analyze(typed(spark, folder, "orders")), "project", "orders", "orders.csv", 1)
-    return saved.load("orders")["visualizations"].drop("reason")
+    saved.save(analyze(view(spark, folder, "shipments")), "project", "shipments", "shipments.csv", 1)
+    return saved.load("shipments")["visualizations"].drop("reason")
 
 
 QUERIES = {
@@ -463,7 +468,7 @@ QUERIES = {
         correlation_pairs, monthly_mean, insight_trend, insight_missing, insight_top_category,
         insights_all, candidate_columns, recommendations, filter_fields, filter_categorical,
         filter_numeric, filter_date, filter_combined, filter_typed, filtered_stats,
-        filtered_chart, search_any_cell, natural_sort, page_rows, catalog_listing, owner_scope,
+        filtered_chart, search_any_cell, natural_sort, page_rows, page_rows_deep, catalog_listing, owner_scope,
         catalog_new_only, catalog_columns, catalog_checks, analysis_checks,
         filtered_analysis_checks, saved_analysis,
     )

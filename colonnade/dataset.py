@@ -62,6 +62,8 @@ class Dataset:
     frame: DataFrame
     columns: tuple[str, ...]
     types: dict[str, T.DataType] = field(repr=False, default_factory=dict)
+    # The same rows without ``_row`` where that is only the order of the scan.
+    source: DataFrame | None = field(repr=False, default=None)
 
     @staticmethod
     def from_table(
@@ -75,14 +77,19 @@ class Dataset:
             raise DatasetError("reserved_name", f"The name {ROW} is reserved.")
         validate_names(names)
         types = {f.name: f.dataType for f in frame.schema.fields if f.name in names}
-        key = (
-            F.monotonically_increasing_id()
-            if order_by is None
-            else (quoted(order_by) if isinstance(order_by, str) else order_by).cast("bigint")
-        )
+        if order_by is None:
+            return Dataset._scanned(frame.select(*(quoted(n) for n in names)), tuple(names), types)
+        key = (quoted(order_by) if isinstance(order_by, str) else order_by).cast("bigint")
         shaped = frame.select(key.alias(ROW), *(quoted(name) for name in names))
         return Dataset(shaped, tuple(names), types)
 
+    @staticmethod
+    def _scanned(source: DataFrame, names: tuple[str, ...], types: dict) -> "Dataset":
+        numbered = source.select(
+            F.monotonically_increasing_id().alias(ROW), *(quoted(name) for name in names)
+        )
+        return Dataset(numbered, names, types, source)
+
     @property
     def spark(self) -> SparkSession:
         return self.frame.sparkSession
@@ -133,6 +140,9 @@ class Dataset:
         return instant_from_text(self.text(name))
 
     def where(self, predicate: Column) -> "Dataset":
+        if self.source is not None:
+            # Below the numbering, where the predicate can still reach the file scan.
+            return Dataset._scanned(self.source.where(predicate), self.columns, self.types)
         return Dataset(self.frame.where(predicate), self.columns, self.types)
 
     def select(self, names: list[str]) -> "Dataset":
@@ -144,3 +154,12 @@ class Dataset:
         """The first rows in source order, as text with missing cells empty."""
         cells = [F.coalesce(self.text(name), F.lit("")).alias(name) for name in self.columns]
         return self.frame.select(ROW, *cells).orderBy(ROW).limit(limit)
+
+
+def spread(ds: Dataset) -> Dataset:
+    """Shuffle rows over all cores when the source has too few splits to occupy them
+    (one unsplittable file, say). Tables with enough splits are left as they are."""
+    cores = ds.spark.sparkContext.defaultParallelism
+    if ds.frame.rdd.getNumPartitions() * 2 > cores:
+        return ds
+    return Dataset(ds.frame.repartition(cores, ROW), ds.columns, ds.types)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from colonnade import config as C
 from colonnade.dataset import ROW, Dataset
-from colonnade.functions import instant_from_text, is_blank
+from colonnade.functions import is_blank
 from colonnade.functions.labels import short
 from colonnade.operators.ranks import even, values_at_ranks
 from colonnade.operators.schema import Profile, safe_sum, total_of
@@ -64,7 +64,8 @@ def dated_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame:
     if y is None and isinstance(source, Profile):
         position = source.by_name[x]["position"]
         chosen = source.freq.where(F.col("position") == position)
-        rows = chosen.select(instant_from_text(F.col("value")).alias("t"), F.lit(1.0).alias("y"), "n")
+        instant = F.timestamp_micros(F.floor(F.col("nanos") / 1000).cast("bigint"))
+        rows = chosen.select(instant.alias("t"), F.lit(1.0).alias("y"), "n")
     else:
         ds = source.rows if isinstance(source, Profile) else source
         number = ds.number(y) if y else F.lit(1.0)
@@ -151,13 +152,9 @@ def is_one_bin(fact) -> bool:
 
 def first_number(profile: Profile, x: str) -> float:
     """First valid number in source order."""
-    from colonnade.functions import number_from_text
-
     position = profile.by_name[x]["position"]
-    parsed = profile.freq.where(F.col("position") == position).select(
-        "first_row", number_from_text(F.col("value")).alias("key")
-    )
-    return parsed.where(F.col("key").isNotNull()).orderBy("first_row").first()["key"]
+    valid = profile.freq.where((F.col("position") == position) & F.col("x").isNotNull())
+    return valid.orderBy("first_row").first()["x"]
 
 
 def scatter_rows(ds: Dataset, x: str, y: str) -> DataFrame:

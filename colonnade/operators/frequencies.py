@@ -2,31 +2,92 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from colonnade.dataset import ROW, Dataset
-from colonnade.functions import is_blank
+from colonnade.dataset import ROW, Dataset, quoted
+from colonnade.functions import finite_or_null, instant_from_text, is_blank, nanosecond_tail
+from colonnade.functions import number_from_text
+
+
+def _families(ds: Dataset) -> dict[str, list[int]]:
+    """Column positions by the type in which their values are counted. Numbers and dates
+    that are stored as such are hashed and shuffled in eight bytes and turned into text
+    afterwards, once per distinct value; all else is counted as text."""
+    found: dict[str, list[int]] = {}
+    for i, name in enumerate(ds.columns):
+        kind = ds.types[name]
+        native = (T.DoubleType, T.TimestampType, T.TimestampNTZType, T.DateType)
+        if isinstance(kind, T.IntegralType):
+            family = "bigint"
+        else:
+            family = kind.simpleString() if isinstance(kind, native) else "string"
+        found.setdefault(family, []).append(i)
+    return found
+
+
+def _counted(ds: Dataset, family: str, positions: list[int]) -> DataFrame:
+    """``(position, value, n, first_row)`` with values in the family's type."""
+    names = [ds.columns[i] for i in positions]
+    cells = [ds.text(n) if family == "string" else quoted(n).cast(family) for n in names]
+    long = ds.frame.select(ROW, *(c.alias(str(i)) for i, c in zip(positions, cells))).unpivot(
+        ROW, [str(i) for i in positions], "column", "value"
+    )
+    return long.groupBy(F.col("column").cast("int").alias("position"), "value").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row")
+    )
 
 
 def value_frequencies(ds: Dataset) -> DataFrame:
     """``(position, value, n, first_row)`` for each distinct cell text of each column.
 
-    All columns go through one unpivot and one grouped count. The map-side half of
-    the count collapses frequent values before the shuffle, so a value held by a third
-    of all rows costs one record per task. Missing cells keep their own entries.
+    All columns of a type go through one unpivot and one grouped count. The map-side
+    half of the count collapses frequent values before the shuffle, so a value held by
+    a third of all rows costs one record per task. Missing cells keep their own entries.
     """
-    cells = [ds.text(name).alias(str(i)) for i, name in enumerate(ds.columns)]
-    long = ds.frame.select(ROW, *cells).unpivot(
-        ROW, [str(i) for i in range(len(cells))], "column", "value"
-    )
-    return long.groupBy(F.col("column").cast("int").alias("position"), "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(ROW).alias("first_row")
+    text = F.col("value").cast("string").alias("value")
+    counted = (_counted(ds, family, positions) for family, positions in _families(ds).items())
+    return reduce(
+        DataFrame.unionByName, (c.select("position", text, "n", "first_row") for c in counted)
     )
 
 
+def parsed_frequencies(ds: Dataset) -> DataFrame:
+    """``value_frequencies`` with each distinct value parsed: ``x`` as a number, ``nanos``
+    as nanoseconds since 1970 (a timestamp holds microseconds only)."""
+    value = F.col("value")
+
+    def nanoseconds(instant: Column, tail: Column) -> Column:
+        micros = F.unix_micros(instant).cast("decimal(18,0)")
+        return (micros * 1000 + tail).cast("decimal(21,0)")
+
+    def parsed(family: str, positions: list[int]) -> DataFrame:
+        counted = _counted(ds, family, positions)
+        no_number, no_instant = F.lit(None).cast("double"), F.lit(None).cast("decimal(21,0)")
+        if family == "string":
+            # No text is both a number and a date, so dates are tried on the rest only.
+            counted = counted.withColumn("x", number_from_text(value))
+            instant = F.when(F.col("x").isNull(), instant_from_text(value))
+            counted = counted.withColumn("t", instant)
+            nanos = F.when(F.col("t").isNotNull(), nanoseconds(F.col("t"), nanosecond_tail(value)))
+            return counted.withColumn("nanos", nanos).drop("t")
+        if family in ("bigint", "double"):
+            number = value.cast("double") if family == "bigint" else finite_or_null(value)
+            return counted.withColumns({"x": number, "nanos": no_instant})
+        instant = value.cast("timestamp")
+        return counted.withColumns({"x": no_number, "nanos": nanoseconds(instant, F.lit(0))})
+
+    parts = [
+        parsed(family, positions).withColumn("value", value.cast("string"))
+        for family, positions in _families(ds).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_names(ds: Dataset) -> Column:
     """The name that belongs to ``position``."""
     return F.element_at(F.array(*(F.lit(name) for name in ds.columns)), F.col("position") + 1)

@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from colonnade.config import ProfileConfig
-from colonnade.dataset import ROW, Dataset
-from colonnade.functions import instant_from_text, is_blank, nanosecond_tail
-from colonnade.functions import number_from_text, percentage, stripped
+from colonnade.dataset import ROW, Dataset, spread
+from colonnade.functions import is_blank, percentage, stripped
 from colonnade.functions.names import BOOLEAN_DIGITS, BOOLEAN_WORDS, suggests_boolean
 from colonnade.operators.frequencies import column_names, first_values, gathered
-from colonnade.operators.frequencies import value_frequencies
-from colonnade.scratch import written
+from colonnade.operators.frequencies import parsed_frequencies, value_frequencies
+from colonnade.scratch import removed, written
 from colonnade.small import small_table
 
 # Multiplying by this power of two is exact and keeps sums of huge values finite.
@@ -46,23 +45,13 @@ def total_of(parts: Column, divisor: Column | None = None) -> Column:
 def column_counts(freq: DataFrame) -> DataFrame:
     """Everything type inference and the statistics need, one row per column.
 
-    Each distinct value is parsed once and weighted by its count; the groups are the
-    columns, and partial aggregation leaves one row per column and task to shuffle.
+    Distinct values are weighted by their count; the groups are the columns, and partial
+    aggregation leaves one row per column and task to shuffle.
     """
     value = F.col("value")
-    clean = F.lower(stripped(value))
-    number = number_from_text(value)
-    # No text is both a number and a date, so dates are tried on the rest only.
-    parsed = freq.select("position", "value", "n", is_blank(value).alias("blank"), clean.alias("clean"), number.alias("x"))
-    parsed = parsed.withColumn(
-        "t", F.when(F.col("x").isNull() & ~F.col("blank"), instant_from_text(value))
-    )
-    parsed = parsed.withColumn(
-        "nanos",
-        F.when(
-            F.col("t").isNotNull(),
-            F.unix_micros("t").cast("decimal(18,0)") * 1000 + nanosecond_tail(value),
-        ).cast("decimal(21,0)"),
+    parsed = freq.select(
+        "position", "n", "x", "nanos", is_blank(value).alias("blank"),
+        F.lower(stripped(value)).alias("clean"),
     )
     n, blank, x = F.col("n"), F.col("blank"), F.col("x")
 
@@ -74,7 +63,7 @@ def column_counts(freq: DataFrame) -> DataFrame:
         rows_where(blank).alias("missing_count"),
         F.count_if(~blank).alias("unique_count"),
         rows_where(x.isNotNull()).alias("numeric_valid"),
-        rows_where(F.col("t").isNotNull()).alias("datetime_valid"),
+        rows_where(F.col("nanos").isNotNull()).alias("datetime_valid"),
         F.count_if(~blank & ~F.col("clean").isin(*BOOLEAN_WORDS)).alias("not_word"),
         F.count_if(~blank & ~F.col("clean").isin(*BOOLEAN_DIGITS)).alias("not_digit"),
         F.min(x).alias("minimum"),
@@ -119,7 +108,8 @@ class Profile:
         self.ds = ds
         self.config = config
         self.frozen_types = frozen_types
-        self.freq = written(value_frequencies(ds))
+        self._paths: list[str] = []
+        self.freq = written(parsed_frequencies(spread(ds)), self._paths)
 
     def _planned_counts(self) -> DataFrame:
         """One row per column, also for a table without rows."""
@@ -168,7 +158,7 @@ class Profile:
         if not any(ds.is_text(f["name"]) for f in kept if f["detected_type"] in ("numeric", "datetime")):
             return ds
         cells = [parsed[f["detected_type"]](f["name"]).alias(f["name"]) for f in kept]
-        frame = written(ds.frame.select(ROW, *cells))
+        frame = written(spread(ds).frame.select(ROW, *cells), self._paths)
         types = {field.name: field.dataType for field in frame.schema.fields if field.name != ROW}
         return Dataset(frame, tuple(types), types)
 
@@ -183,6 +173,10 @@ class Profile:
     def of_type(self, *kinds: str) -> list[Row]:
         return [fact for fact in self.facts if fact["detected_type"] in kinds]
 
+    def release(self) -> None:
+        """Delete the intermediate tables; lazy results of this profile end with them."""
+        removed(self.ds.spark, self._paths)
+
     def valid_rows(self, fact: Row) -> int:
         """Rows whose cell parses as the column's type."""
         kind = fact["detected_type"]

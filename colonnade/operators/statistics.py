@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.functions import finite_or_null, is_blank, number_from_text, percentage
+from colonnade.functions import finite_or_null, percentage
 from colonnade.functions.instants import iso_text
 from colonnade.operators.frequencies import TOP_TYPE, gathered, top_values
 from colonnade.operators.ranks import values_at_ranks
@@ -20,11 +20,8 @@ TYPES = ("numeric", "categorical", "datetime", "boolean", "text")
 
 def numeric_entries(profile: Profile, positions: list[int]) -> DataFrame:
     """``(group, key, n)``: distinct texts of numeric columns as numbers."""
-    chosen = profile.freq.where(F.col("position").isin(positions) & ~is_blank(F.col("value")))
-    parsed = chosen.select(
-        F.col("position").alias("group"), number_from_text(F.col("value")).alias("key"), "n"
-    )
-    return parsed.where(F.col("key").isNotNull())
+    chosen = profile.freq.where(F.col("position").isin(positions) & F.col("x").isNotNull())
+    return chosen.select(F.col("position").alias("group"), F.col("x").alias("key"), "n")
 
 
 def magnitude(fact) -> float:

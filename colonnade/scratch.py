@@ -26,9 +26,20 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/colonnade-{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """Write once, read many times: cuts lineage and survives lost executors."""
+def written(frame: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Write once, read many times: cuts lineage and survives lost executors. The path is
+    added to ``paths``, for ``removed`` to delete when the table is no longer needed."""
     spark = frame.sparkSession
     path = new_path(spark)
+    if paths is not None:
+        paths.append(path)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables this module wrote."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
