@@ -212,7 +212,48 @@ def recommendation_sql() -> str:
     FROM capped QUALIFY position < 6"""
 
 
+def insight_sql() -> str:
+    """All rules in order over the shipments view."""
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    correlations = " UNION ALL ".join(
+        f"SELECT '{MEASURES[i]}' AS x, '{MEASURES[j]}' AS y, corr(v{i}, v{j}) AS r FROM parsed "
+        f"WHERE v{i} IS NOT NULL AND v{j} IS NOT NULL" for i, j in pairs
+    )
+    fences = " UNION ALL ".join(
+        f"""SELECT '{c}' AS name, (SELECT count(*) FROM parsed WHERE v{i} < q1 - 1.5 * (q3 - q1)
+          OR v{i} > q3 + 1.5 * (q3 - q1)) AS outside
+        FROM (SELECT quantile_cont(v{i}, 0.25) AS q1, quantile_cont(v{i}, 0.75) AS q3 FROM parsed)"""
+        for i, c in enumerate(MEASURES)
+    )
+    return f"""{SHIP}, {PARSED}, rules AS (
+      SELECT 1 AS block, row_number() OVER (ORDER BY missing_percentage DESC, position) AS nth, 'missing_data' AS type,
+        'Missing values in ' || name AS title, 'warning' AS severity, name AS columns FROM facts WHERE missing_count > 0
+      UNION ALL
+      SELECT 2, row_number() OVER (ORDER BY numeric_valid DESC, position), 'outlier',
+        'Potential outliers in ' || name, 'warning', name
+      FROM facts JOIN ({fences}) USING (name) WHERE outside > 0
+      UNION ALL
+      SELECT 3, row_number() OVER (ORDER BY abs(r) DESC), 'correlation', a || ' and ' || b || ' move together', 'info', a || '|' || b
+      FROM (SELECT r, CASE WHEN fx.numeric_valid > fy.numeric_valid OR (fx.numeric_valid = fy.numeric_valid AND fx.position < fy.position) THEN x ELSE y END AS a,
+          CASE WHEN a = x THEN y ELSE x END AS b
+        FROM ({correlations}) JOIN facts fx ON fx.name = x JOIN facts fy ON fy.name = y WHERE abs(r) >= 0.4)
+      UNION ALL
+      SELECT 4, row_number() OVER (ORDER BY position), 'top_category', 'Most frequent ' || name, 'info', name
+      FROM facts WHERE detected_type IN ('categorical', 'boolean') AND unique_count BETWEEN 2 AND 30
+      UNION ALL
+      SELECT 5, row_number() OVER (ORDER BY numeric_valid DESC, position), 'trend', 'Monthly change in ' || name, 'info', 'Shipped|' || name
+      FROM (SELECT name, numeric_valid, position FROM facts WHERE detected_type = 'numeric' ORDER BY numeric_valid DESC, position LIMIT 2)
+      WHERE name IN (SELECT name FROM (
+        SELECT name, month, mean, lag(month) OVER w AS before, lag(mean) OVER w AS base,
+          row_number() OVER (PARTITION BY name ORDER BY month DESC) AS back
+        FROM ({months(MEASURES, 'Shipped')}) WINDOW w AS (PARTITION BY name ORDER BY month))
+        WHERE back = 1 AND base <> 0 AND mean <> base
+          AND date_diff('month', CAST(before || '-01' AS DATE), CAST(month || '-01' AS DATE)) = 1))
+    SELECT row_number() OVER (ORDER BY block, nth) - 1 AS position, type, title, severity, columns FROM rules WHERE nth <= 2"""
+
+
 ORACLE = {
+    "insights_all": insight_sql(),
     "csv_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
     "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
     "csv_malformed_rows": "SELECT fields, count(*) AS records FROM (SELECT 3 + (c_mktsegment = 'MACHINERY')::INT "

@@ -25,7 +25,13 @@ BASE_SCORE = {
     "histogram": 0.50,
     "scatter": 0.55,
 }
-# Reason texts.
+# Titles and reason texts.
+TITLES = {
+    "scatter": "{y} vs {x}",
+    "histogram": "Distribution of {x}",
+    "measure": "{how} {y} by {x}",
+    "count": "Records by {x}",
+}
 REASONS = {
     "line_count": "A datetime column supports record frequency over time.",
     "line": "Datetime and numeric columns support a time series ({how} aggregation).",
@@ -147,11 +153,9 @@ def chart_operands(profile: Profile, kept: dict[str, list]) -> list[Operand]:
 
 
 def _title(rule: str, x: str, y: str | None, how: str) -> str:
-    if rule == "scatter":
-        return f"{y} vs {x}"
-    if y:
-        return f"{how.title()} {y} by {x}"
-    return f"Distribution of {x}" if rule == "histogram" else f"Records by {x}"
+    if rule == "scatter" or rule == "histogram":
+        return TITLES[rule].format(x=x, y=y)
+    return TITLES["measure" if y else "count"].format(x=x, y=y, how=how.title())
 
 
 def build(
