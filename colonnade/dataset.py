@@ -158,7 +158,10 @@ class Dataset:
 
 def spread(ds: Dataset) -> Dataset:
     """Shuffle rows over all cores when the source has too few splits to occupy them
-    (one unsplittable file, say). Tables with enough splits are left as they are."""
+    (one unsplittable file, say). Tables with enough splits are left as they are, and so
+    are those that come out of a shuffle already."""
+    if ds.frame._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return ds
     cores = ds.spark.sparkContext.defaultParallelism
     if ds.frame.rdd.getNumPartitions() * 2 > cores:
         return ds

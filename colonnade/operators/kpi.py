@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from colonnade.functions.labels import significant
 from colonnade.functions.names import suggests_kpi
-from colonnade.operators.schema import Profile, total_of
+from colonnade.operators.schema import Profile
+from colonnade.operators.statistics import mean_of
 from colonnade.small import small_table
 
 
@@ -22,11 +22,9 @@ def kpi_values(profile: Profile) -> list[tuple[str, float]]:
         ("Missing cells", sum(f["missing_count"] for f in facts)),
         ("Numeric columns", len(numeric)),
     ]
-    telling = [f["name"] for f in numeric if f["numeric_valid"] and suggests_kpi(f["name"])]
+    telling = [f for f in numeric if f["numeric_valid"] and suggests_kpi(f["name"])]
     if telling:
-        mean = total_of(F.col("total"), F.col("numeric_valid"))
-        row = profile.counts.where(F.col("name") == telling[0]).select(mean.alias("m")).first()
-        values[3] = (f"Average {telling[0]}", row["m"])
+        values[3] = (f"Average {telling[0]['name']}", mean_of(telling[0]))
     return values
 
 

@@ -28,9 +28,15 @@ def log_linear(key: Column) -> Column:
 
 
 def even(key: Column, low: Column, high: Column, buckets: int = FINE_BUCKETS) -> Column:
-    """Order-preserving equal-width bucket of a key between two bounds."""
-    width = (high - low).cast("double")
-    share = F.try_divide((key - low).cast("double"), width)
+    """Order-preserving equal-width bucket of a key between two bounds. The bounds land
+    in different buckets, so every round makes progress. Integers are subtracted exactly
+    unless they lie too far apart, where doubles are fine enough."""
+
+    def distance(upper: Column) -> Column:
+        exact = F.try_subtract(upper, low).cast("double")
+        return F.coalesce(exact, upper.cast("double") - low.cast("double"))
+
+    share = F.try_divide(distance(key), distance(high))
     return F.coalesce(F.floor(share * buckets), F.lit(0)).cast("bigint")
 
 

@@ -11,7 +11,7 @@ from colonnade.functions import finite_or_null, percentage
 from colonnade.functions.instants import iso_text
 from colonnade.operators.frequencies import TOP_TYPE, gathered, top_values
 from colonnade.operators.ranks import values_at_ranks
-from colonnade.operators.schema import Profile, total_of
+from colonnade.operators.schema import DOWN, SMALL, Profile
 from colonnade.small import small_table
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -29,6 +29,14 @@ def magnitude(fact) -> float:
     return max(abs(fact["minimum"]), abs(fact["maximum"])) or 1.0
 
 
+def mean_of(fact) -> float:
+    """Mean of a numeric column from its two sums; see ``safe_sum``."""
+    total, count = fact["total"], fact["numeric_valid"]
+    if total["largest"] < SMALL:
+        return total["plain"] / count
+    return total["scaled"] / count / DOWN
+
+
 def order_pairs(profile: Profile, facts: list, fractions: list[float]) -> dict:
     """``{(position, fraction): (lower, upper, weight)}`` around each quantile."""
     targets, wanted = {}, {}
@@ -70,14 +78,10 @@ def quartiles(profile: Profile) -> DataFrame:
 def numeric_statistics(profile: Profile) -> DataFrame:
     """Mean, sample deviation, extremes and quartiles of each numeric column."""
     facts = profile.of_type("numeric")
-    scales = small_table(profile.ds.spark, 
-        [(f["position"], magnitude(f)) for f in facts if f["numeric_valid"]],
-        "position int, scale double",
-    )
-    centred = (
-        profile.counts
-        .join(F.broadcast(scales), "position")
-        .select("position", "scale", total_of(F.col("total"), F.col("numeric_valid")).alias("mean"))
+    centred = small_table(
+        profile.ds.spark,
+        [(f["position"], magnitude(f), mean_of(f)) for f in facts if f["numeric_valid"]],
+        "position int, scale double, mean double",
     )
     # Squares of values divided by the largest one neither overflow nor vanish.
     spread = (

@@ -145,3 +145,18 @@ def test_quartiles_do_not_depend_on_the_path(profile_of):
     small, large = (rows(profile_of({"V": cells}, rank_buffer=b))["V"] for b in (10, 100_000))
     assert small == large
     assert small["median"] == pytest.approx(st.median(map(float, cells)))
+
+
+def test_integer_ranks_with_huge_and_clustered_keys(spark):
+    chance = random.Random(8)
+    keys = sorted(
+        {2**62 + i for i in range(300)} | {-(2**62) - i for i in range(50)}
+        | {chance.randint(-(2**63), 2**63 - 1) for _ in range(50)}
+    )
+    from colonnade.operators.ranks import even
+
+    frame = spark.createDataFrame([(0, k, 1) for k in keys], "group int, key bigint, n bigint")
+    bucket = even(F.col("key"), F.lit(keys[0]), F.lit(keys[-1]), 16)
+    ranks = [0, 7, 100, 200, 333, len(keys) - 1]
+    found = values_at_ranks(frame, {0: ranks}, {0: len(keys)}, 3, bucket, unit=True)
+    assert found == {(0, r): keys[r] for r in ranks}
