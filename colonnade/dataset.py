@@ -166,3 +166,8 @@ def spread(ds: Dataset) -> Dataset:
     if ds.frame.rdd.getNumPartitions() * 2 > cores:
         return ds
     return Dataset(ds.frame.repartition(cores, ROW), ds.columns, ds.types)
+
+
+def parsing(ds: Dataset, names: list[str | None]) -> Dataset:
+    """``spread`` where one of the columns is text that has to be parsed."""
+    return spread(ds) if any(n and ds.is_text(n) for n in names) else ds

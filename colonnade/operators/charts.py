@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colonnade import config as C
-from colonnade.dataset import ROW, Dataset
+from colonnade.dataset import ROW, Dataset, parsing
 from colonnade.functions import is_blank
 from colonnade.functions.labels import short
 from colonnade.operators.ranks import even, values_at_ranks
@@ -38,7 +38,7 @@ def category_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame
         position = source.by_name[x]["position"]
         chosen = source.freq.where((F.col("position") == position) & ~is_blank(F.col("value")))
         return chosen.select(F.col("value").alias("x"), F.lit(1.0).alias("y"), "n")
-    ds = source.rows if isinstance(source, Profile) else source
+    ds = source.rows if isinstance(source, Profile) else parsing(source, [y])
     number = ds.number(y) if y else F.lit(1.0)
     rows = ds.frame.select(ds.label(x).alias("x"), number.alias("y"), F.lit(1).alias("n"))
     return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -67,7 +67,7 @@ def dated_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame:
         instant = F.timestamp_micros(F.floor(F.col("nanos") / 1000).cast("bigint"))
         rows = chosen.select(instant.alias("t"), F.lit(1.0).alias("y"), "n")
     else:
-        ds = source.rows if isinstance(source, Profile) else source
+        ds = source.rows if isinstance(source, Profile) else parsing(source, [x, y])
         number = ds.number(y) if y else F.lit(1.0)
         rows = ds.frame.select(ds.instant(x).alias("t"), number.alias("y"), F.lit(1).alias("n"))
     return rows.where(F.col("t").isNotNull() & F.col("y").isNotNull())
@@ -158,8 +158,11 @@ def first_number(profile: Profile, x: str) -> float:
 
 
 def scatter_rows(ds: Dataset, x: str, y: str) -> DataFrame:
+    """Valid pairs with their row key; parsed texts are written, as they are read thrice."""
+    ds = parsing(ds, [x, y])
     rows = ds.frame.select(ROW, ds.number(x).alias("x"), ds.number(y).alias("y"))
-    return rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return written(rows) if ds.is_text(x) or ds.is_text(y) else rows
 
 
 def scatter_sample(ds: Dataset, x: str, y: str, rank_buffer: int) -> tuple[DataFrame, int]:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.dataset import Dataset
+from colonnade.dataset import Dataset, parsing
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ def pair_facts(ds: Dataset, operands: list[Operand], pairs: list[tuple[int, int]
     A side varies when it has two distinct values among the rows valid on both sides.
     ``pearson_r`` is null unless both sides asked for moments.
     """
+    ds = parsing(ds, [operand.name for operand in operands if operand.kind != "categorical"])
     places = range(len(operands))
     measured = {i for i in places if operands[i].scale is not None}
     values = ds.frame.select(*(operand_value(ds, operands[i]).alias(f"v{i}") for i in places))
