@@ -185,3 +185,9 @@ def with_quality(frame: DataFrame, model: RuleEnsemble, text: str = "text") -> D
     kept = [c for c in frame.columns if c != "score"]
     counted, _ = with_statistics(frame, text)
     return counted.withColumn("score", model.column()).select(*kept, "score")
+
+
+def accepted(frame: DataFrame, model: RuleEnsemble, text: str = "text") -> DataFrame:
+    """The rows whose score is at least one half, with the frame's own columns."""
+    counted, _ = with_statistics(frame, text)
+    return counted.where(model.column() >= 0.5).select(*frame.columns)

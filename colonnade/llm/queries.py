@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import bpe, licenses, pii, quality_classifier, quality_rules, toxicity
+from colonnade.llm import (
+    bpe, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk, toxicity,
+)
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -48,12 +50,26 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleared = line_dedup.dedup_lines(_table(spark, folder, "documents"), keep=["doc_id"])
+    return cleared.select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     judged = quality_rules.rule_verdicts(docs, labels, keep=["doc_id"])
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op7_encoding(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     both = bpe.encode_texts(docs, public_tokenizers.path(VOCABULARY), decode=True, keep=["doc_id"])
@@ -78,7 +94,15 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = simhash.near_duplicates(_table(spark, folder, "documents"), keep=["doc_id"])
+    return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
-    f.__name__: f
-    for f in (op1_toxicity, op2_personal_data, op4_quality_rules, op7_encoding, op8_licenses, op9_quality)
-}
+    query.__name__: query
+    for query in (
+        op1_toxicity, op2_personal_data, op3_line_dedup, op4_quality_rules, op5_top_k, op6_packing,
+        op7_encoding, op8_licenses, op9_quality, op10_near_duplicates,
+    )
+}
