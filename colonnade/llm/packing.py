@@ -208,7 +208,8 @@ def _island_turn(turn: int, capacity: int):
         shard, island = int(key[0]), int(key[1])
         counts = dict(zip(own["length"].tolist(), own["count"].tolist()))
         elites = [
-            [tuple(p) for p, n in zip(e["pattern"], e["times"]) for _ in range(n)] for _, e in given.groupby("source")
+            [tuple(map(int, p)) for p, n in zip(e["pattern"], e["times"]) for _ in range(n)]
+            for _, e in given.groupby("source")
         ]
         bins = evolved(counts, elites, (shard * ISLANDS + island) * ROUNDS + turn, capacity)
         return _solution(shard, island, turn, bins, counts, capacity)
