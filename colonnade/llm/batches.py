@@ -31,24 +31,25 @@ def with_results(
     """The frame (or its columns ``keep``) with further columns. ``make()`` runs once per
     task and returns a function from the list of values of ``column`` to one list per
     field. Columns of the frame with the name of a field are replaced."""
-    names = {name for name, _ in fields}
+    names = [name for name, _ in fields]
     kept = [c for c in (frame.columns if keep is None else keep) if c not in names]
     schema = T.StructType(
-        [frame.schema[c] for c in kept] + [T.StructField(name, kind) for name, kind in fields]
+        [T.StructField(f"c{i}", frame.schema[c].dataType) for i, c in enumerate(kept)]
+        + [T.StructField(f"r{i}", kind) for i, (_, kind) in enumerate(fields)]
     )
     kinds = [to_arrow_type(kind) for _, kind in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for piece in pieces(batches, column):
-            at = piece.schema.get_field_index
-            made = work(piece.column(at(column)).to_pylist())
-            arrays = [piece.column(at(c)) for c in kept]
+        for piece in pieces(batches, "given"):
+            made = work(piece.column(len(kept)).to_pylist())
+            arrays = [piece.column(i) for i in range(len(kept))]
             arrays += [pa.array(list(v), kind) for v, kind in zip(made, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    needed = frame.select(*dict.fromkeys([*(quoted(c) for c in kept), quoted(column)]))
-    return needed.mapInArrow(run, schema)
+    needed = [frame[quoted(c)].alias(f"c{i}") for i, c in enumerate(kept)]
+    given = frame.select(*needed, frame[quoted(column)].alias("given"))
+    return given.mapInArrow(run, schema).toDF(*kept, *names)
 
 
 def quoted(name: str) -> str:

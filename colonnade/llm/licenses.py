@@ -154,8 +154,8 @@ def license_scan(frame: DataFrame, text: str = "text", keep: list[str] | None =
         )
     )  # at most as many labels as there are
     phrases = phrase_columns(F.col("__text"))
-    based = texts.select(*kept, digest.alias("digest"), *(c.alias(f"__{n}") for n, c in phrases.items()))
-    both = based.join(found, "digest", "left")
+    based = texts.select(*kept, digest.alias("__digest"), *(c.alias(f"__{n}") for n, c in phrases.items()))
+    both = based.join(found, based["__digest"] == found["digest"], "left").drop(found["digest"])
     labels = F.array_distinct(F.concat("__base_list", F.coalesce("__found", F.array().cast("array<string>"))))
     return both.select(
         *kept,

@@ -27,9 +27,9 @@ from pyspark.sql import types as T
 from colonnade.llm.batches import pieces, with_results
 from colonnade.scratch import written
 
-#: Words that make a line a chunk of its own; words that several lines need together; one
-#: in how many lines ends a chunk by its rolling hash.
-LONG, LEAST, ENDS = 20, 8, 3
+#: Words that make a line a chunk of its own; words that a chunk of several lines needs; one
+#: in how many lines may end a chunk by its rolling hash.
+LONG, LEAST, ENDS = 20, 8, 2
 _BASE, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -38,20 +38,19 @@ def line_chunks(lines: list[str]) -> list[tuple[int, int, int | None]]:
     to count as repeated."""
     words = [len(line.split()) for line in lines]
     hashes = [xxhash.xxh3_64_intdigest(line) for line in lines]
-    chunks, start, before = [], 0, 0
+    chunks, start, before, total, filled = [], 0, 0, 0, 0
     for i, (count, own) in enumerate(zip(words, hashes)):
         last = i + 1 == len(lines)
         rolled = (before * _BASE + own) & _WRAP
         before = own
-        ends = rolled % ENDS == 0 or count >= LONG or last or words[i + 1] >= LONG
-        if ends:
-            filled, total = sum(map(bool, words[start : i + 1])), sum(words[start : i + 1])
-            counts = total >= LONG or (filled > 1 and total >= LEAST)
+        total, filled = total + count, filled + (count > 0)
+        full = filled > 1 and total >= LEAST
+        if (full and rolled % ENDS == 0) or count >= LONG or last or words[i + 1] >= LONG:
             key = None
-            if counts:
+            if full or total >= LONG:
                 key = xxhash.xxh3_64_intdigest("\n".join(lines[start : i + 1])) - (1 << 63)
             chunks.append((start, i + 1, key))
-            start = i + 1
+            start, total, filled = i + 1, 0, 0
     return chunks
 
 

@@ -9,7 +9,7 @@ interchangeable, so a shard is a table of lengths with counts, and a solution is
 bins of lengths. Each shard evolves on several islands: a child takes whole well-filled bins
 of one parent, drops the other's bins that hold the same pieces, and puts displaced pieces
 where they fit best. Between the rounds every island gets its neighbour's best solution. A
-shard that meets its lower bound (total length over capacity) is done. The best solution of
+shard that meets its lower bound is done. The best solution of
 each shard is dealt out to its pieces.
 
 Rules: a null text counts as empty (one piece, the separator); every row is packed, repeated
@@ -37,7 +37,7 @@ from colonnade.scratch import written
 
 CAPACITY, SEPARATOR = 2_048, 0
 SHARD, ISLANDS, ROUNDS = 8_192, 2, 2
-POPULATION, GENERATIONS, INJECTED = 4, 8, 0.3
+POPULATION, GENERATIONS, PATIENCE, INJECTED = 6, 40, 8, 0.3
 
 Bin = tuple[int, ...]  # lengths, descending
 
@@ -147,16 +147,31 @@ def crossover(giver: list[Bin], taker: list[Bin], capacity: int, random: np.rand
 
 
 def mutated(bins: list[Bin], capacity: int, random: np.random.Generator) -> list[Bin]:
-    """The emptiest bins and a few others are emptied and their pieces put back."""
-    count = min(len(bins), 2 + len(bins) // 20)
-    order = sorted(range(len(bins)), key=lambda i: sum(bins[i]) + capacity * 0.2 * random.random())
+    """Some bins, emptier ones rather, are emptied and their pieces put back, the longest
+    first with some disorder."""
+    count = int(random.integers(2, 4 + len(bins) // 10))
+    order = sorted(range(len(bins)), key=lambda i: sum(bins[i]) + capacity * 0.4 * random.random())
     gone = set(order[:count])
-    pieces = [length for i in gone for length in bins[i]]
-    return packed(sorted(pieces, reverse=True), [b for i, b in enumerate(bins) if i not in gone], capacity)
+    pieces = sorted((length for i in gone for length in bins[i]), key=lambda n: -n * (1 + 0.3 * random.random()))
+    kept = [b for i, b in enumerate(bins) if i not in gone]
+    return packed(pieces, kept, capacity)
 
 
 def least_bins(counts: dict[int, int], capacity: int) -> int:
-    return -(-sum(length * n for length, n in counts.items()) // capacity)
+    """A bound that no solution goes below: total length over capacity, or more where long
+    pieces leave each other no room. For each least length, pieces beside which nothing of
+    that length fits take a bin each, other long ones too, and the rest fills what is left."""
+    number = np.zeros(capacity + 1, dtype=np.int64)
+    number[list(counts)] = list(counts.values())
+    total = number * np.arange(capacity + 1)
+    number, total = np.cumsum(number), np.cumsum(total)  # up to each length
+    least, half = np.arange(capacity // 2 + 1), capacity // 2
+    alone = number[-1] - number[capacity - least]
+    paired = number[capacity - least] - number[half]
+    room = paired * capacity - (total[capacity - least] - total[half])
+    small = total[half] - np.concatenate([[0], total])[least]
+    more = np.maximum(0, -((room - small) // capacity))
+    return int((alone + paired + more).max())
 
 
 def evolved(counts: dict[int, int], elites: list[list[Bin]], seed: int, capacity: int = CAPACITY) -> list[Bin]:
@@ -176,13 +191,15 @@ def evolved(counts: dict[int, int], elites: list[list[Bin]], seed: int, capacity
     while len(population) < POPULATION:  # the same rule on slightly mixed orders
         noisy = np.argsort(-lengths * (1 + 0.1 * random.standard_normal(len(lengths))), kind="stable")
         population.append(packed(lengths[noisy].tolist(), [], capacity))
+    best, waited = rank(population[0]), 0
     for _ in range(GENERATIONS):
         population.sort(key=rank)
-        if len(population[0]) <= goal:
+        best, waited = min(best, rank(population[0])), 0 if rank(population[0]) < best else waited + 1
+        if len(population[0]) <= goal or waited > PATIENCE:
             break
         a, b = random.choice(min(3, len(population)), 2, replace=False)
         children = [crossover(population[x], population[y], capacity, random) for x, y in ((a, b), (b, a))]
-        children.append(mutated(population[0], capacity, random))
+        children += [mutated(population[int(x)], capacity, random) for x in (0, random.integers(len(population)))]
         population = sorted(population + children, key=rank)[:POPULATION]
     return min(population, key=rank)
 

@@ -165,7 +165,7 @@ def fit_rules(points: np.ndarray, target: np.ndarray, features: list[str], seed:
 
 def with_statistics(frame: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """The frame with one column per statistic, and their names."""
-    own = {f"stat_{name}": column for name, column in statistics(F.col(text)).items()}
+    own = {f"__stat_{name}": column for name, column in statistics(F.col(text)).items()}
     return frame.withColumns(own), list(own)
 
 

@@ -230,7 +230,7 @@ def test_pipeline(spark, documents, labels, folder, sentences):
     by_stage = [{r["doc_id"]: r["text"] for r in rows} for rows in frames[:-1]]
     assert set(by_stage[0]) == set(range(61))
     assert passage in by_stage[1][5] and passage not in by_stage[1][6]
-    assert by_stage[1][10] == good[10] and by_stage[1][60] == ""
+    assert by_stage[1][10] == good[10] and by_stage[1][60].count("\n") < 2
     assert set(range(60)) <= set(by_stage[2])
     assert "[email]" in by_stage[3][7] and by_stage[3][8] == by_stage[2][8]
     packed = frames[-1]

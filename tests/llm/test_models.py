@@ -143,4 +143,4 @@ def test_labels_are_no_input(spark, documents, labels, folder, sentences):
     docs = documents([sentences(i, 20) for i in range(10)])
     counted, names = quality_classifier.with_statistics(docs)
     assert not {"lang", "source", "doc_id", "n_chars"} & set(names)
-    assert counted.where(F.col("stat_words") != 20).count() == 0
+    assert counted.where(F.col(names[0]) != 20).count() == 0
