@@ -11,6 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of text handled between two output batches.
 PIECE = 4 << 20
+#: Tasks of a stage whose groups are few bytes and much work; more groups share tasks.
+MOST_TASKS = 20_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:

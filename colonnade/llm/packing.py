@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.llm.batches import MOST_TASKS
 from colonnade.llm.batches import pieces as cut_batches
 from colonnade.llm.bpe import WORDS, Vocabulary
 from colonnade.scratch import written
@@ -234,9 +235,14 @@ def _island_turn(turn: int, capacity: int):
     return work
 
 
-def evolve_islands(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def evolve_islands(counts: DataFrame, shards: int, capacity: int = CAPACITY) -> DataFrame:
     """The bins of the best solution per shard: (shard, pattern, times). ``counts``: shard,
-    length, count of open pieces."""
+    length, count of open pieces. Islands are few bytes and much work, so their number of
+    partitions is given, lest small ones be merged into one task."""
+
+    def dealt(frame: DataFrame):
+        return frame.repartition(min(shards * ISLANDS, MOST_TASKS), "shard", "island").groupBy("shard", "island")
+
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     settled = counts.select("shard", islands, "length", "count")
     solved = None
@@ -251,9 +257,7 @@ def evolve_islands(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             given = best.select("shard", reached.alias("island"), F.col("island").alias("source"), "pattern", "times")
             open_shards = settled.join(unmet, "shard", "left_semi")
         found = written(
-            open_shards.groupBy("shard", "island").cogroup(given.groupBy("shard", "island")).applyInPandas(
-                _island_turn(turn, capacity), _SOLUTION
-            )
+            dealt(open_shards).cogroup(dealt(given)).applyInPandas(_island_turn(turn, capacity), _SOLUTION)
         )
         solved = found if solved is None else written(solved.unionByName(found))
     order = ("bins", "fill", "turn", "island")
@@ -270,7 +274,7 @@ def pack_documents(frame: DataFrame, path: str, text: str = "text", id_column: s
     shards = max(1, -(-own.where(is_open).count() // shard))
     dealt = own.withColumn("shard", F.pmod(F.xxhash64(id_column, "piece", "length", "ids_crc32"), F.lit(shards)))
     counts = written(dealt.where(is_open).groupBy("shard", "length").agg(F.count(F.lit(1)).alias("count")))
-    bins = written(evolve_islands(counts, capacity))
+    bins = written(evolve_islands(counts, shards, capacity))
     schema = T.StructType(
         [*own.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import MOST_TASKS
 from colonnade.scratch import written
 
 SHARD, BLOCK, LEAF = 8_192, 512, 128
@@ -145,7 +146,11 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, shard: int =
                 side["cells"] = side["cells"].map(np.floor)
             return search_shard(own, asked, k)
 
-        return candidates.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(work, _FOUND)
+        sides = [  # their number is given, lest groups of few bytes be merged into one task
+            side.repartition(min(shards * blocks, MOST_TASKS), "shard", "block").groupBy("shard", "block")
+            for side in (candidates, queries)
+        ]
+        return sides[0].cogroup(sides[1]).applyInPandas(work, _FOUND)
 
     spread = candidates.withColumn("block", F.explode(every))
     at_home = searched(
