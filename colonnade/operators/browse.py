@@ -6,16 +6,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colonnade.dataset import ROW, Dataset
 from colonnade.errors import DatasetError
 from colonnade.functions import is_blank, natural_key
-from colonnade.scratch import written
+from colonnade.operators.order import RANGE, place_in, ranged
 
 PAGE_SIZES = (10, 25, 50)
 TOP_ROWS = 10_000
-RANGE, PLACE = "_range", "_place"
+PLACE = "_place"
 
 
 def search(ds: Dataset, text: str) -> Dataset:
@@ -44,36 +43,34 @@ def page(
     descending: bool = False,
     top_rows: int = TOP_ROWS,
 ) -> DataFrame:
-    """One page (0-based) of the sorted or source-ordered rows.
+    """One page (0-based) of the sorted or source-ordered rows; a number past the last page
+    gives the last.
 
     Pages among the first ``top_rows`` rows are a distributed top-k. Later ones are cut
     out of range partitions, of which only those that meet the page are sorted.
     """
     if size not in PAGE_SIZES or number < 0:
         raise DatasetError("invalid_page", f"Page sizes are {PAGE_SIZES}; pages start at 0.")
+    number = min(number, page_count(ds, size) - 1)
     order = natural_order(ds, sort_by, descending) if sort_by else [F.asc(ROW)]
     if (number + 1) * size <= top_rows:
         return ds.frame.orderBy(*order).offset(number * size).limit(size)
     return _deep_page(ds, order, number * size, size)
 
 
-def _deep_page(ds: Dataset, order: list, start: int, size: int) -> DataFrame:
-    """Rows ``start`` to ``start + size`` of the given order, wherever they lie.
+def page_count(ds: Dataset, size: int = 10) -> int:
+    """Pages of the table; an empty one has one."""
+    return max(1, -(-ds.frame.count() // size))
 
-    The ranges are written, so that their numbers stay the same; one count per range
-    comes to the driver.
-    """
-    ranges = ds.frame.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
-    ranges = written(ranges)
-    counts = dict(ranges.groupBy(RANGE).count().collect())
+
+def _deep_page(ds: Dataset, order: list, start: int, size: int) -> DataFrame:
+    """Rows ``start`` to ``start + size`` of the given order, wherever they lie."""
+    ranges, counts = ranged(ds.frame, order)
     before, met = 0, {}
-    for place in sorted(counts):
-        if before < start + size and before + counts[place] > start:
-            met[place] = before
-        before += counts[place]
-    window = Window.partitionBy(RANGE).orderBy(*order)
-    earlier = F.create_map(*(F.lit(v) for pair in (met or {-1: 0}).items() for v in pair))
-    rank = F.element_at(earlier, F.col(RANGE)) + F.row_number().over(window) - 1
-    placed = ranges.where(F.col(RANGE).isin(list(met))).withColumn(PLACE, rank)
+    for part in sorted(counts):
+        if before < start + size and before + counts[part] > start:
+            met[part] = before
+        before += counts[part]
+    placed = ranges.where(F.col(RANGE).isin(list(met))).withColumn(PLACE, place_in(ranges, met, order))
     wanted = placed.where((F.col(PLACE) >= start) & (F.col(PLACE) < start + size))
     return wanted.orderBy(PLACE).drop(RANGE, PLACE)

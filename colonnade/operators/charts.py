@@ -7,12 +7,12 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colonnade import config as C
 from colonnade.dataset import ROW, Dataset, parsing
 from colonnade.functions import is_blank
 from colonnade.functions.labels import short
+from colonnade.operators.order import positioned
 from colonnade.operators.ranks import even, values_at_ranks
 from colonnade.operators.schema import Profile, safe_sum, total_of
 from colonnade.operators.statistics import magnitude, numeric_entries
@@ -51,14 +51,6 @@ def category_chart(
     return aggregated(category_rows(source, x, y), "x", aggregation)
 
 
-def positioned(points: DataFrame, *order: Column) -> DataFrame:
-    """Add the place of each point; the points of one chart are bounded by contract.
-
-    One more than the bound is let through, so that an oversized chart is noticed."""
-    first = points.orderBy(*order).limit(C.MAX_POINTS + 1)
-    return first.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
-
-
 def dated_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame:
     """``(t, y, n)`` rows for a line chart."""
     if y is None and isinstance(source, Profile):
@@ -93,7 +85,8 @@ def line_chart(
     daily = written(
         dated_rows(source, x, y)
         .groupBy(F.to_date("t").alias("day"))
-        .agg(safe_sum(F.col("y"), F.col("n")).alias("s"), F.sum("n").alias("n"))
+        .agg(safe_sum(F.col("y"), F.col("n")).alias("s"), F.sum("n").alias("n")),
+        source.paths if isinstance(source, Profile) else None,
     )
     observed = daily.agg(
         F.count("day").alias("days"),
@@ -157,18 +150,21 @@ def first_number(profile: Profile, x: str) -> float:
     return valid.orderBy("first_row").first()["x"]
 
 
-def scatter_rows(ds: Dataset, x: str, y: str) -> DataFrame:
-    """Valid pairs with their row key; parsed texts are written, as they are read thrice."""
+def scatter_rows(ds: Dataset, x: str, y: str, paths: list[str] | None = None) -> DataFrame:
+    """Valid pairs with their row key, written once: they are read thrice, and numbers given
+    to rows of a scan may differ between two readings."""
     ds = parsing(ds, [x, y])
     rows = ds.frame.select(ROW, ds.number(x).alias("x"), ds.number(y).alias("y"))
     rows = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    return written(rows) if ds.is_text(x) or ds.is_text(y) else rows
+    return written(rows, paths) if ds.is_text(x) or ds.is_text(y) or ds.source is not None else rows
 
 
-def scatter_sample(ds: Dataset, x: str, y: str, rank_buffer: int) -> tuple[DataFrame, int]:
+def scatter_sample(
+    ds: Dataset, x: str, y: str, rank_buffer: int, paths: list[str] | None = None
+) -> tuple[DataFrame, int]:
     """Up to 500 valid pairs ``(position, x, y)``, evenly spaced in source order with
     both end points, and the number of valid pairs."""
-    pairs = scatter_rows(ds, x, y)
+    pairs = scatter_rows(ds, x, y, paths)
     size = pairs.agg(F.count(F.lit(1)).alias("n"), F.min(ROW).alias("low"), F.max(ROW).alias("high")).first()
     total = size["n"]
     if total > C.MAX_POINTS:
@@ -179,7 +175,7 @@ def scatter_sample(ds: Dataset, x: str, y: str, rank_buffer: int) -> tuple[DataF
         bucket = even(F.col("key"), F.lit(size["low"]), F.lit(size["high"]), 4096)
         keys = values_at_ranks(entries, {0: ranks}, {0: total}, rank_buffer, bucket, unit=True)
         pairs = pairs.where(F.col(ROW).isin(list(keys.values())))
-    return positioned(pairs, F.asc(ROW)).select("position", "x", "y"), total
+    return positioned(pairs, F.asc(ROW), paths=paths).select("position", "x", "y"), total
 
 
 def point_label(lower: float, upper: float) -> str:

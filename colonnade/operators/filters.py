@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import math
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -71,6 +72,8 @@ def _invalid(message: str) -> DatasetError:
 def _day(text: str | None) -> datetime.date | None:
     if text is None:
         return None
+    if not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
+        raise _invalid(f"{text!r} is not written as year-month-day.")
     try:
         return datetime.datetime.strptime(text, "%Y-%m-%d").date()
     except ValueError as error:
@@ -88,6 +91,8 @@ def validate(rules: list[Rule], fields: dict[str, tuple[str, list[str]]]) -> Non
         if kind != rule.kind:
             raise _invalid(f"{rule.column!r} cannot be filtered this way.")
         if isinstance(rule, CategoryFilter):
+            if len(rule.values) > C.MAX_FILTER_VALUES:
+                raise _invalid(f"At most {C.MAX_FILTER_VALUES} values are allowed.")
             if not rule.values or not set(rule.values) <= set(known):
                 raise _invalid("Category values must occur in the dataset.")
             continue
@@ -96,6 +101,8 @@ def validate(rules: list[Rule], fields: dict[str, tuple[str, list[str]]]) -> Non
             if isinstance(rule, NumberFilter)
             else (_day(rule.start), _day(rule.end))
         )
+        if any(isinstance(b, float) and not math.isfinite(b) for b in (low, high)):
+            raise _invalid("Bounds must be finite numbers.")
         if low is None and high is None:
             raise _invalid("A range needs at least one bound.")
         if low is not None and high is not None and low > high:

@@ -18,12 +18,11 @@ from colonnade.dataset import Dataset, parsing
 @dataclass(frozen=True)
 class Operand:
     """A column taking part in pairs. ``labels`` lists all values of a categorical one
-    (at most 30); ``center`` and ``scale`` ask for moments of a numeric one."""
+    (at most 30); ``scale``, by which values are divided, asks for moments of a numeric one."""
 
     name: str
     kind: str
     labels: tuple[str, ...] = ()
-    center: float = 0.0
     scale: float | None = None
 
 
@@ -51,17 +50,18 @@ def pair_facts(ds: Dataset, operands: list[Operand], pairs: list[tuple[int, int]
     for i in places:
         mask = mask + F.when(F.col(f"v{i}").isNotNull(), F.lit(1 << i)).otherwise(0)
 
-    def centred(i: int) -> Column:
-        return (F.col(f"v{i}") - operands[i].center) / operands[i].scale
+    def scaled(i: int) -> Column:
+        return F.col(f"v{i}") / operands[i].scale
 
     joint = [p for p, (i, j) in enumerate(pairs) if i in measured and j in measured]
     by_mask = values.groupBy(mask.alias("mask")).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.min(f"v{i}").cast("string").alias(f"low{i}") for i in places),
         *(F.max(f"v{i}").cast("string").alias(f"high{i}") for i in places),
-        *(F.sum(centred(i)).alias(f"s{i}") for i in measured),
-        *(F.sum(centred(i) * centred(i)).alias(f"q{i}") for i in measured),
-        *(F.sum(centred(pairs[p][0]) * centred(pairs[p][1])).alias(f"p{p}") for p in joint),
+        # All rows of a mask are valid in the same columns, so these are the pair's own rows.
+        *(F.avg(scaled(i)).alias(f"s{i}") for i in measured),
+        *(F.var_pop(scaled(i)).alias(f"q{i}") for i in measured),
+        *(F.covar_pop(scaled(pairs[p][0]), scaled(pairs[p][1])).alias(f"p{p}") for p in joint),
     )
 
     def listed(prefix: str, indexes, present) -> Column:
@@ -100,14 +100,24 @@ def pair_facts(ds: Dataset, operands: list[Operand], pairs: list[tuple[int, int]
         F.sum("n").alias("valid_rows"),
         varies("i").alias("x_varies"),
         varies("j").alias("y_varies"),
-        F.sum(at("s", "i")).alias("sx"), F.sum(at("s", "j")).alias("sy"),
-        F.sum(at("q", "i")).alias("sxx"), F.sum(at("q", "j")).alias("syy"),
-        F.sum(at("p", "pair")).alias("sxy"),
+        F.collect_list(  # one entry per mask that holds the pair
+            F.struct(
+                "n", at("s", "i").alias("mx"), at("s", "j").alias("my"),
+                at("q", "i").alias("vx"), at("q", "j").alias("vy"), at("p", "pair").alias("c"),
+            )
+        ).alias("parts"),
     )
     n = F.col("valid_rows")
-    covariance = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    spread_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    spread_y = F.col("syy") - F.col("sy") * F.col("sy") / n
+
+    def total(term) -> Column:
+        return F.aggregate("parts", F.lit(0.0), lambda acc, m: acc + m["n"] * term(m))
+
+    mean_x, mean_y = total(lambda m: m["mx"]) / n, total(lambda m: m["my"]) / n
+    facts = facts.withColumns({"mean_x": mean_x, "mean_y": mean_y})
+    off_x, off_y = (lambda m: m["mx"] - F.col("mean_x")), (lambda m: m["my"] - F.col("mean_y"))
+    covariance = total(lambda m: m["c"] + off_x(m) * off_y(m))
+    spread_x = total(lambda m: m["vx"] + off_x(m) * off_x(m))
+    spread_y = total(lambda m: m["vy"] + off_y(m) * off_y(m))
     r = F.try_divide(covariance, F.sqrt(spread_x) * F.sqrt(spread_y))
     bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
     testable = (n >= 3) & F.col("x_varies") & F.col("y_varies") & ~F.isnan(r)

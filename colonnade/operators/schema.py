@@ -108,8 +108,8 @@ class Profile:
         self.ds = ds
         self.config = config
         self.frozen_types = frozen_types
-        self._paths: list[str] = []
-        self.freq = written(parsed_frequencies(spread(ds)), self._paths)
+        self.paths: list[str] = []
+        self.freq = written(parsed_frequencies(spread(ds)), self.paths)
 
     def _planned_counts(self) -> DataFrame:
         """One row per column, also for a table without rows."""
@@ -158,7 +158,7 @@ class Profile:
         if not any(ds.is_text(f["name"]) for f in kept if f["detected_type"] in ("numeric", "datetime")):
             return ds
         cells = [parsed[f["detected_type"]](f["name"]).alias(f["name"]) for f in kept]
-        frame = written(spread(ds).frame.select(ROW, *cells), self._paths)
+        frame = written(spread(ds).frame.select(ROW, *cells), self.paths)
         types = {field.name: field.dataType for field in frame.schema.fields if field.name != ROW}
         return Dataset(frame, tuple(types), types)
 
@@ -175,7 +175,7 @@ class Profile:
 
     def release(self) -> None:
         """Delete the intermediate tables; lazy results of this profile end with them."""
-        removed(self.ds.spark, self._paths)
+        removed(self.ds.spark, self.paths)
 
     def valid_rows(self, fact: Row) -> int:
         """Rows whose cell parses as the column's type."""

@@ -39,6 +39,10 @@ class Analysis:
     def preview(self) -> DataFrame:
         return self.dataset.preview()
 
+    def release(self) -> None:
+        """Delete the intermediate tables; lazy results of this analysis end with them."""
+        self.profile.release()
+
     @cached_property
     def metadata(self) -> DataFrame:
         return column_metadata(self.profile)

@@ -29,7 +29,9 @@ ERROR_SIZE = f"The chart has more than {C.MAX_POINTS} points."
 def _points(profile: Profile, item: Recommendation) -> tuple[list[tuple], str]:
     x, y = item.x_column, item.y_column
     if item.chart_type == "scatter":
-        frame, total = charts.scatter_sample(profile.rows, x, y, profile.config.rank_buffer)
+        frame, total = charts.scatter_sample(
+            profile.rows, x, y, profile.config.rank_buffer, profile.paths
+        )
         rows = frame.orderBy("position").collect()
         note = NOTE_SAMPLE if total > C.MAX_POINTS else NOTE_ALL_PAIRS
         return [(r["x"], r["y"]) for r in rows], note.format(shown=len(rows), total=total)

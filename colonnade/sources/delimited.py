@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass, field
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,10 @@ from colonnade import config as C
 from colonnade.dataset import ROW, Dataset, prepared
 from colonnade.errors import DatasetError
 from colonnade.functions import stripped
-from colonnade.sources.layout import HEAD_LINES, Layout, find_layout
+from colonnade.small import small_table
+from colonnade.sources.layout import (
+    NAMED_DELIMITER, NOTE, WINDOW, Layout, Opening, chosen_delimiter, find_layout, without_header,
+)
 
 BAD = "_bad"
 
@@ -52,29 +57,66 @@ def _listing(spark: SparkSession, path: str):
     return listed.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("length").alias("size"),
-        F.min("path").alias("first"),
     ).first()
 
 
-def _head(spark: SparkSession, path: str) -> list[bytes]:
-    rows = spark.read.text(path).select(F.col("value").cast("binary")).limit(HEAD_LINES).collect()
-    return [bytes(row[0]) for row in rows]
-
-
-def _decoded(head: list[bytes], utf8: bool) -> list[str]:
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line from 1, value) of one file. Spark numbers rows within a split; one count per
+    split tells where each begins."""
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), "value")
+    part = F.shiftright("id", 33)
+    counts = dict(rows.groupBy(part.alias("part")).count().collect())
+    before, seen = [], 0
+    for key in sorted(counts):
+        before.append((key, seen))
+        seen += counts[key]
+    starts = small_table(spark, before or [(0, 0)], "part bigint, before bigint")
+    line = F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").select(line.alias("line"), "value")
+
+
+def _opening(lines: DataFrame, header_row: int | None, size: int, charset: str) -> Opening:
+    """The lines from the table's start on, found over the whole file: after blank lines,
+    notes and a line that names the delimiter, or at the given line."""
+    bare = F.ltrim("value", F.lit("\ufeff"))
+    names = bare.rlike(NAMED_DELIMITER)
+    above = (stripped(bare) == "") | bare.rlike(NOTE) | names
+    start = header_row or lines.agg(F.min(F.when(~above, F.col("line")))).first()[0]
+    last = lines.agg(F.max("line")).first()[0] or 0
+    if start is None or start > last:
+        return Opening([], start or last + 1, 0, None, True)
+    before = lines.where(F.col("line") < start).agg(
+        F.count_if(bare != "").alias("records"),
+        F.max(F.when(names, F.struct("line", F.regexp_extract(bare, NAMED_DELIMITER, 1).alias("named")))).alias("named"),
+    ).first()
+    shown = lines.where((F.col("line") >= start) & (F.col("line") < start + size))
+    raw = [bytes(r[0]) for r in shown.orderBy("line").select(F.col("value").cast("binary")).collect()]
     try:
-        lines = [line.decode("utf-8" if utf8 else "cp1252") for line in head]
+        text = [value.decode(charset) for value in raw]
     except UnicodeDecodeError as error:
         raise _unreadable() from error
-    return [line.removeprefix("\ufeff") for line in lines[:1]] + lines[1:]
-
-
-def _delimiter(head: list[bytes], wanted: str | None) -> str:
-    """The delimiter alone, which does not depend on the encoding."""
-    try:
-        return find_layout([line.decode("latin-1") for line in head], wanted, headerless=True).delimiter
-    except DatasetError:
-        return ","
+    text[:1] = [text[0].removeprefix("\ufeff")]
+    named = before["named"]["named"] if before["named"] else None
+    return Opening(text, start, before["records"], named, start + size > last)
+
+
+def _found_layout(spark: SparkSession, path: str, charset: str, delimiter, header_row, headerless) -> Layout:
+    """The layout of one file. The rules see more lines until they can tell."""
+    lines, size = _numbered_lines(spark, path), WINDOW
+    while True:
+        opening = _opening(lines, header_row, size, charset)
+        layout = find_layout(opening, chosen_delimiter(opening, delimiter), headerless)
+        if layout is not None:
+            break
+        size *= 16
+    if layout.doubtful:
+        later = lines.where(F.col("line") >= opening.first_line + size)
+        outside = F.regexp_replace("value", '"[^"]*"', "")
+        separators = F.length(outside) - F.length(F.replace(outside, F.lit(layout.delimiter), F.lit("")))
+        as_wide = later.where((F.col("value") != "") & (separators + 1 == len(layout.names)))
+        if not as_wide.isEmpty():
+            return without_header(layout)
+    return layout
 
 
 def _strictly_quoted(line: Column, delimiter: str) -> Column:
@@ -84,22 +126,38 @@ def _strictly_quoted(line: Column, delimiter: str) -> Column:
     return line.rlike(rf"\A{cell}(?:{d}{cell})*+\z")
 
 
-def _content(spark: SparkSession, path: str, delimiter: str):
-    """One pass over the lines: encoding, binary content, loose quotes, and whether any
-    record could span lines (an odd number of quotes) or be whitespace only."""
+def _content(lines: DataFrame, delimiter: str):
+    """One pass over the lines: binary content, loose quotes, and whether any record could
+    span lines (an odd number of quotes) or be whitespace only."""
     line = F.col("value")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     bare = F.ltrim(line, F.lit("\ufeff"))
     loose = line.contains('"') & ~bare.startswith("#") & ~_strictly_quoted(bare, delimiter)
-    return spark.read.text(path).agg(
-        F.count_if(~F.is_valid_utf8(line)).alias("not_utf8"),
-        F.count_if(line.contains("\0")).alias("binary"),
+    opening = F.lower(stripped(bare))
+    note = opening.startswith("#") | opening.startswith("note:") | opening.startswith("source:")
+    return lines.agg(
         F.count_if(quotes % 2 == 1).alias("open_quotes"),
+        F.count_if((quotes % 2 == 1) & ~note).alias("unpaired"),
         F.count_if(loose).alias("loose_quotes"),
         F.count_if((line != "") & (stripped(line) == "")).alias("blank_records"),
     ).first()
 
 
+def _encodings(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files that are UTF-8 and files that are not, each list in order of the paths. The
+    driver holds the files' names in any case."""
+    line = F.col("value")
+    by_file = (
+        spark.read.text(path).groupBy(F.input_file_name().alias("file"))
+        .agg(F.count_if(~F.is_valid_utf8(line)).alias("other"), F.count_if(line.contains("\0")).alias("binary"))
+        .collect()
+    )
+    if any(row["binary"] for row in by_file):
+        raise DatasetError("invalid_content", "The file contains NUL characters.")
+    named = sorted((unquote(row["file"]), row["other"] > 0) for row in by_file)
+    return [f for f, other in named if not other], [f for f, other in named if other]
+
+
 def _reader(spark: SparkSession, layout: Layout, charset: str, multiline: bool, header: bool):
     fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(layout.names))]
     return (
@@ -117,6 +175,24 @@ def _reader(spark: SparkSession, layout: Layout, charset: str, multiline: bool,
     )
 
 
+def _windows_text(cell: Column) -> Column:
+    """Windows-1252 text from bytes read as Latin-1, which Spark reads under any setting:
+    the two differ in 32 places, of which five are undefined."""
+    places = [bytes([b]) for b in range(0x80, 0xA0)]
+    meant = "".join(p.decode("cp1252", errors="replace") for p in places)
+    return F.translate(cell, b"".join(places).decode("latin-1"), meant)
+
+
+def _loaded(
+    spark: SparkSession, layout: Layout, files: list[str], charset: str, multiline: bool, header: bool
+) -> DataFrame:
+    """The cells of files of one charset."""
+    if charset == "UTF-8":
+        return _reader(spark, layout, charset, multiline, header).load(files, format="csv")
+    raw = _reader(spark, layout, "ISO-8859-1", multiline, header).load(files, format="csv")
+    return raw.select(*(_windows_text(F.col(c)).alias(c) for c in raw.columns))
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -140,27 +216,31 @@ def read_delimited(
         raise DatasetError("empty_file", "The file is empty.")
     if max_bytes is not None and size > max_bytes:
         raise DatasetError("file_too_large", f"The file exceeds {max_bytes:,} bytes.")
-    head = _head(spark, listed["first"])
-    content = _content(spark, path, _delimiter(head, delimiter))
-    if content["binary"]:
-        raise DatasetError("invalid_content", "The file contains NUL characters.")
-    utf8 = content["not_utf8"] == 0
-    charset = "UTF-8" if utf8 else "windows-1252"
-    if not utf8:
-        # Spark 4 refuses this charset unless told to accept Java's.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    layout = find_layout(_decoded(head, utf8), delimiter, header_row, headerless)
     one_file = listed["files"] == 1
+    sets = [
+        (files, charset)
+        for files, charset in zip(_encodings(spark, path), ("UTF-8", "windows-1252"))
+        if files
+    ]
+    utf8 = all(charset == "UTF-8" for _, charset in sets)
+    first, first_charset = min(((files[0], charset) for files, charset in sets), default=(path, "UTF-8"))
+    python_charset = "utf-8" if first_charset == "UTF-8" else "cp1252"
+    layout = _found_layout(spark, first, python_charset, delimiter, header_row, headerless)
+    content = _content(spark.read.text(path), layout.delimiter)
     if not one_file and layout.skip > 1:
         raise DatasetError("unsupported_dataset", "Part files must start with their header.")
     if multiline is None:
         multiline = bool(content["open_quotes"] or content["blank_records"])
+    if one_file and content["unpaired"] % 2:
+        raise DatasetError("malformed_csv", "A quoted cell is not closed.")
     if not multiline and content["loose_quotes"]:
         raise DatasetError("malformed_csv", "A quoted cell is followed by further text.")
-    skip_header = not one_file and layout.skip == 1
-    raw = _reader(spark, layout, charset, multiline, skip_header).load(path, format="csv")
-    numbered = raw.select(F.monotonically_increasing_id().alias(ROW), *raw.columns)
-    rows = numbered.where(F.col(ROW) >= layout.skip) if one_file else numbered
+    if one_file:
+        raw = _loaded(spark, layout, [first], sets[0][1], multiline, False)
+        numbered = raw.select(F.monotonically_increasing_id().alias(ROW), *raw.columns)
+        rows = numbered.where(F.col(ROW) >= layout.skip)
+    else:
+        rows = _parts(spark, layout, sets, multiline)
     if layout.skip == 0:
         rows = rows.withColumn("c0", F.ltrim(F.col("c0"), F.lit("\ufeff")))
     rows, count = _validated(rows, layout, utf8)
@@ -181,6 +261,39 @@ def read_delimited(
     return DelimitedFile(Dataset(frame, layout.names, types), info)
 
 
+def _parts(spark: SparkSession, layout: Layout, sets: list[tuple[list[str], str]], multiline: bool) -> DataFrame:
+    """The rows of part files, numbered by path and place within the file. Every part must
+    start with the header, if there is one.
+
+    A row's place is the start of its split plus its number within the task: a split has no
+    more rows than bytes, so the numbers of later splits are larger."""
+    paths = sorted(f for files, _ in sets for f in files)
+    ranks = small_table(spark, [(f, i) for i, f in enumerate(paths)], "file string, rank bigint")
+
+    def loaded(header: bool) -> DataFrame:
+        frames = []
+        for files, charset in sets:
+            raw = _loaded(spark, layout, files, charset, multiline, header)
+            within = F.input_file_block_start() + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+            file = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
+            frames.append(raw.select(file.alias("file"), within.alias("within"), *raw.columns))
+        return reduce(DataFrame.union, frames)
+
+    cells = [f"c{i}" for i in range(len(layout.names))]
+    if not layout.generated:
+        first = F.min_by(F.struct(*cells), "within")
+        bare = F.trim(F.ltrim(F.col("first.c0"), F.lit("\ufeff")))
+        same = bare.eqNullSafe(F.lit(layout.names[0]))
+        for cell, name in zip(cells[1:], layout.names[1:]):
+            same = same & F.trim(F.col(f"first.{cell}")).eqNullSafe(F.lit(name))
+        other = loaded(False).groupBy("file").agg(first.alias("first")).where(~same).agg(F.min("file")).first()[0]
+        if other is not None:
+            raise DatasetError("malformed_record", f"{other} does not start with the header of the first file.")
+    rows = loaded(not layout.generated).join(F.broadcast(ranks), "file")
+    number = F.shiftleft("rank", 43) + F.col("within")
+    return rows.select(number.alias(ROW), *cells, BAD)
+
+
 def _unreadable() -> DatasetError:
     return DatasetError("unsupported_encoding", "The file is neither UTF-8 nor Windows-1252.")
 

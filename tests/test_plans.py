@@ -40,3 +40,39 @@ def test_top_values_are_limited_before_the_shuffle(orders):
 
 def test_the_named_folder_is_used(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_cluster_without_shared_folder_is_refused(spark, monkeypatch):
+    from colonnade import DatasetError, scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(DatasetError) as caught:
+        scratch.shared_folder(Session())
+    assert caught.value.code == "no_shared_folder"
+    Context.master = "local[4]"
+    assert scratch.shared_folder(Session())
+
+
+def test_released_analyses_leave_no_files(spark, text_dataset):
+    from pathlib import Path
+
+    from colonnade import analyze
+
+    before = set(Path(shared_folder(spark)).iterdir())
+    found = analyze(text_dataset({"a": ["1", "2", "3", "4"], "b": ["5", "1", "2", "9"], "d": ["2001-01-01", "2001-02-01"] * 2}))
+    assert found.charts
+    assert set(Path(shared_folder(spark)).iterdir()) > before
+    found.release()
+    assert set(Path(shared_folder(spark)).iterdir()) == before
