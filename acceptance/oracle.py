@@ -255,7 +255,8 @@ def insight_sql() -> str:
 ORACLE = {
     "insights_all": insight_sql(),
     "csv_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
-    "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
+    "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer",
+    "csv_long_preamble": "SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS segment FROM customer",
     "csv_malformed_rows": "SELECT fields, count(*) AS records FROM (SELECT 3 + (c_mktsegment = 'MACHINERY')::INT "
     "+ (c_acctbal > 9000)::INT AS fields FROM customer) WHERE fields <> 3 GROUP BY fields",
     "preview_first_rows": f"SELECT o_orderkey AS _row, * EXCLUDE (o_orderkey) FROM ({view_sql('sales', True)}) ORDER BY _row LIMIT 100",
@@ -266,7 +267,7 @@ ORACLE = {
       FROM (SELECT *, CASE detected_type WHEN 'numeric' THEN numeric_valid ELSE datetime_valid END AS valid FROM facts
             WHERE detected_type IN ('numeric', 'datetime'))""",
     "scaled_sum": "SELECT l_returnflag AS x, round(sum(l_extendedprice), 2) AS y FROM lineitem GROUP BY x",
-    "value_frequencies": f"SELECT name, value, count(*) AS n, min(k) AS first_row FROM ({keyed('customer', 'c_custkey', ['c_nationkey', 'c_mktsegment', 'c_name'])}) GROUP BY name, value",
+    "value_frequencies": f"SELECT name, value, count(*) AS n, min(k) AS first_row FROM ({keyed('customer', 'c_custkey', ['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'])}) GROUP BY name, value",
     "detect_types": f"{SHIP} SELECT position, name, detected_type FROM facts",
     "column_metadata": f"""{SOLD}, keyed AS ({keyed('src', 'o_orderkey', list(SALES))}), {FIVE_FIRST}
       SELECT position, name, detected_type, missing_count, missing_percentage, unique_count, sample_values
@@ -291,7 +292,7 @@ ORACLE = {
         for t, c in (("events", "ts"), ("orders", "o_orderdate"))
     ),
     "top_categories": f"""SELECT name, row_number() OVER (PARTITION BY name ORDER BY n DESC, value) AS rank, value, n
-      FROM (SELECT name, value, count(*) AS n FROM ({cells('part', ['p_name', 'p_brand', 'p_type'])}) GROUP BY name, value)
+      FROM (SELECT name, value, count(*) AS n FROM ({cells('part', ['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'])}) GROUP BY name, value)
       QUALIFY rank <= 10""",
     "kpi_metrics": f"""{SHIP} SELECT 0 AS position, 'Records' AS label, max(rows)::DOUBLE AS value FROM facts
       UNION ALL SELECT 1, 'Columns', count(*)::DOUBLE FROM facts
@@ -307,6 +308,7 @@ ORACLE = {
     "bar_mean": f"WITH src AS ({view_sql('shipments')}) " + ranked_points(
         f"SELECT \"Return Flag\" AS x, round(avg({number(quoted('Sales'))}), 4) AS y FROM src WHERE trim(\"Return Flag\") <> '' GROUP BY x", "y DESC, x"),
     "bar_count": ranked_points("SELECT p_brand AS x, count(*)::DOUBLE AS y FROM part GROUP BY x", "y DESC, x"),
+    "bar_many_categories": ranked_points("SELECT CAST(p_partkey AS VARCHAR) AS x, round(sum(p_retailprice), 2) AS y FROM part GROUP BY x", "y DESC, x"),
     "donut_counts": f"WITH src AS ({view_sql('sales')}) " + ranked_points(
         "SELECT \"Status\" AS x, count(*)::DOUBLE AS y FROM src WHERE trim(\"Status\") <> '' GROUP BY x", "x"),
     "line_daily": "SELECT strftime(ts, '%Y-%m-%d') AS x, round(sum(value), 2) AS y, 'days' AS unit FROM events GROUP BY x",
@@ -334,6 +336,7 @@ ORACLE = {
     "correlation_pairs": f"WITH src AS ({view_sql('shipments')}), {PARSED} " + pair_rows(
         [(i, j) for i in range(4) for j in range(i + 1, 4)],
         lambda i, j: f"count(*) AS valid_rows, round(corr(v{i}, v{j}), 6) AS pearson_r"),
+    "correlation_partial_overlap": "SELECT count(*) AS valid_rows, round(corr(l_quantity, l_extendedprice), 6) AS pearson_r FROM lineitem WHERE l_linenumber <> 1",
     "monthly_mean": f"WITH src AS ({view_sql('shipments')}) SELECT name, month, round(mean, 4) AS mean, valid_rows FROM ({months(['Sales', 'Quantity'], 'Shipped')})",
     "insight_trend": f"""{SOLD}, chosen AS (SELECT name FROM facts WHERE detected_type = 'numeric' ORDER BY numeric_valid DESC, position LIMIT 2),
       monthly AS (SELECT * FROM ({months(['Order ID', 'Customer Ref', 'Total Sales'], 'Order Date')}) WHERE name IN (SELECT name FROM chosen)),
@@ -372,7 +375,8 @@ ORACLE = {
     "filtered_stats": f"WITH src AS (SELECT * FROM ({view_sql('sales')}) WHERE {SALES_FILTER}) {numeric_rows('src', ['Customer Ref', 'Total Sales'], False)}",
     "filtered_chart": f"WITH src AS (SELECT * FROM ({view_sql('sales')}) WHERE {SALES_FILTER}) " + ranked_points(
         f"SELECT \"Priority\" AS x, round(sum({number(quoted('Total Sales'))}), 2) AS y FROM src GROUP BY x", "y DESC, x"),
-    "search_any_cell": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') OR contains(lower(source), 'the')",
+    "search_any_cell": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') OR contains(lower(source), 'the') "
+    "OR contains(lower(lang), 'the') OR contains(CAST(doc_id AS VARCHAR), 'the') OR contains(CAST(n_chars AS VARCHAR), 'the')",
     "natural_sort": """SELECT row_number() OVER (ORDER BY CAST(replace(p_brand, 'Brand#', '') AS INT) DESC, p_partkey) - 1 AS position,
       p_partkey, p_brand FROM part ORDER BY position LIMIT 50""",
     "page_rows": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 25 OFFSET 75",
@@ -383,7 +387,7 @@ ORACLE = {
       FROM (SELECT * FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC, c_custkey LIMIT 12 OFFSET 12)
       LEFT JOIN ({BY_CUSTOMER}) ON c_custkey = o_custkey""",
     "owner_scope": "SELECT o_custkey AS project_id, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 7)",
-    "catalog_new_only": "SELECT c_custkey AS project_id, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    "catalog_new_only": "SELECT c_custkey AS project_id, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "catalog_columns": f"""{SHIP} SELECT 'shipments' AS dataset_id, position, name, detected_type, missing_count > 0 AS nullable,
       missing_count, missing_percentage, unique_count FROM facts""",
     "catalog_checks": """SELECT 'unknown_type' AS rule, l_orderkey AS dataset_id, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 2

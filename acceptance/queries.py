@@ -41,6 +41,19 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     ds = typed(spark, folder, "customer")
     path = new_path(spark)
     write_delimited(ds.frame.select(*(ds.text(c).alias(c) for c in ds.columns)), path)
+    rows = read_delimited(spark, path).dataset.frame
+    return charts.positioned(rows, F.asc("_row")).drop("_row")
+
+
+def csv_long_preamble(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers below three hundred lines of notes, in one file."""
+    path = new_path(spark)
+    notes = spark.range(0, 300, 1, 1).select(F.format_string("# note %s", "id").alias("value"))
+    header = spark.range(1).select(F.lit("key;segment").alias("value"))
+    customers = read(spark, folder, "customer").select(
+        F.concat_ws(";", F.col("c_custkey").cast("string"), "c_mktsegment").alias("value")
+    )
+    notes.union(header).union(customers).coalesce(1).write.text(path)
     return read_delimited(spark, path).dataset.frame.drop("_row")
 
 
@@ -104,7 +117,7 @@ def scaled_sum(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def value_frequencies(spark: SparkSession, folder: str) -> DataFrame:
-    ds = typed(spark, folder, "customer", ["c_nationkey", "c_mktsegment", "c_name"])
+    ds = typed(spark, folder, "customer")
     freq = frequencies.value_frequencies(ds)
     return freq.select(frequencies.column_names(ds).alias("name"), "value", "n", "first_row")
 
@@ -158,7 +171,7 @@ def datetime_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_categories(spark: SparkSession, folder: str) -> DataFrame:
-    ds = typed(spark, folder, "part", ["p_name", "p_brand", "p_type"])
+    ds = typed(spark, folder, "part")
     top = frequencies.top_values(frequencies.value_frequencies(ds), 10)
     return top.select(frequencies.column_names(ds).alias("name"), "rank", "value", "n")
 
@@ -190,6 +203,12 @@ def bar_count(spark: SparkSession, folder: str) -> DataFrame:
     return charts.positioned(points, F.desc("y"), F.asc("x"))
 
 
+def bar_many_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """More categories than a shown chart may have; the operator keeps them all."""
+    points = charts.category_chart(typed(spark, folder, "part"), "p_partkey", "p_retailprice", "sum")
+    return _rounded(charts.positioned(points, F.desc("y"), F.asc("x")), 2)
+
+
 def donut_counts(spark: SparkSession, folder: str) -> DataFrame:
     profile = Profile(view(spark, folder, "sales", ["Status"]))
     return charts.positioned(charts.category_chart(profile, "Status"), F.asc("x"))
@@ -243,6 +262,19 @@ def correlation_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def correlation_partial_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Text columns whose largest values stand where the other side is blank."""
+    items = read(spark, folder, "lineitem")
+    first = F.col("l_linenumber") == 1
+    table = items.select(
+        F.when(first, F.col("l_extendedprice") * 1e9).otherwise(F.col("l_quantity")).cast("string").alias("Load"),
+        F.when(first, F.lit("")).otherwise(F.col("l_extendedprice").cast("string")).alias("Cost"),
+    )
+    profile = Profile(Dataset.from_table(table))
+    facts = pair_facts(profile.ds, insights.numeric_operands(profile.facts), [(0, 1)])
+    return facts.select("valid_rows", F.round("pearson_r", 6).alias("pearson_r"))
+
+
 def monthly_mean(spark: SparkSession, folder: str) -> DataFrame:
     profile = Profile(view(spark, folder, "shipments", ["Shipped", "Sales", "Quantity"]))
     facts = profile.of_type("numeric")
@@ -363,7 +395,7 @@ def filtered_chart(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def search_any_cell(spark: SparkSession, folder: str) -> DataFrame:
-    found = browse.search(typed(spark, folder, "documents", ["doc_id", "text", "source"]), " THE ")
+    found = browse.search(typed(spark, folder, "documents"), " THE ")
     return found.frame.select("doc_id", "source")
 
 
@@ -413,8 +445,7 @@ def owner_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 def catalog_new_only(spark: SparkSession, folder: str) -> DataFrame:
     projects, _ = _projects(spark, folder)
-    urgent = read(spark, folder, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    taken = urgent.select(F.col("o_custkey").alias("project_id"))
+    taken = read(spark, folder, "orders").select(F.col("o_custkey").alias("project_id"))
     return catalog.without_dataset(projects, taken).select("project_id", "c_name")
 
 
@@ -459,13 +490,13 @@ def saved_analysis(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_round_trip, csv_malformed_rows, preview_first_rows, missing_cells, parse_numeric,
+        csv_round_trip, csv_long_preamble, csv_malformed_rows, preview_first_rows, missing_cells, parse_numeric,
         parse_datetime, valid_invalid_counts, scaled_sum, value_frequencies, detect_types,
         column_metadata, column_metadata_typed, column_metadata_documents, sample_values,
         dataset_summary, type_counts, numeric_stats, numeric_stats_typed, datetime_stats,
-        top_categories, kpi_metrics, outliers_iqr, bar_sum, bar_mean, bar_count, donut_counts,
+        top_categories, kpi_metrics, outliers_iqr, bar_sum, bar_mean, bar_count, bar_many_categories, donut_counts,
         line_daily, line_period_ladder, line_counts, histogram, scatter_sample, pair_validity,
-        correlation_pairs, monthly_mean, insight_trend, insight_missing, insight_top_category,
+        correlation_pairs, correlation_partial_overlap, monthly_mean, insight_trend, insight_missing, insight_top_category,
         insights_all, candidate_columns, recommendations, filter_fields, filter_categorical,
         filter_numeric, filter_date, filter_combined, filter_typed, filtered_stats,
         filtered_chart, search_any_cell, natural_sort, page_rows, page_rows_deep, catalog_listing, owner_scope,
