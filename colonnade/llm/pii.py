@@ -131,14 +131,20 @@ _DISGUISES = re.compile(
     # "(at)" in brackets, or the bare word where "dot" follows in brackets or as a word
     rf"(?P<at> ?{_OPEN} ?(?:at|@) ?{_CLOSE} ?(?={_LABEL}(?:{_DOT_WORD}|\.){_ENDING})"
     rf"| at (?={_LABEL}{_DOT_WORD}{_ENDING}))"
+    # the bare word before a plain host, which counts after a name that prose does not have
+    rf"|(?P<host> at (?={_LABEL}\.{_ENDING}|{_LABEL}(?:\.{_LABEL})+\.{_ENDING}))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))"
     r"|(?P<plus>(?<![A-Za-z])plus ?(?=[0-9]|(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z])))"
     r"|(?P<digit>(?<![A-Za-z])(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z]))",
     re.IGNORECASE,
 )
+#: A name of letters with digits, points or lines in it.
+_NAME = re.compile(r"(?<![^\s])(?=[^\s]*[A-Za-z])[A-Za-z0-9%+-]*[0-9._][A-Za-z0-9._%+-]*(?<=[A-Za-z0-9])\Z")
 #: A letter for a digit inside a number.
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[0-9])")
-_MAY_HIDE = re.compile(r"[\[({<] ?(?:at|dot|@|\.) ?[\])}>]| dot |\bplus ?[0-9]", re.IGNORECASE)
+_MAY_HIDE = re.compile(
+    r"[\[({<] ?(?:at|dot|@|\.) ?[\])}>]| dot |\bplus ?[0-9]| at [A-Za-z0-9-]+\.[A-Za-z0-9]", re.IGNORECASE
+)
 _MAY_SPELL = re.compile(r"(?<![A-Za-z])(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z])", re.IGNORECASE)
 
 
@@ -172,7 +178,9 @@ def _undisguised(text: str) -> _Written | None:
     if _MAY_HIDE.search(out.text) or _MAY_SPELL.search(out.text):
         changes: list[tuple[int, int, str]] = []
         for m in _DISGUISES.finditer(out.text):
-            begin, put = m.start(), {"at": "@", "dot": ".", "plus": "+"}.get(m.lastgroup)
+            begin, put = m.start(), {"at": "@", "host": "@", "dot": ".", "plus": "+"}.get(m.lastgroup)
+            if m.lastgroup == "host" and not _NAME.search(out.text[max(0, begin - 80) : begin]):
+                continue
             if put is None:
                 put = str(_DIGIT_WORDS.index(m[0].lower()))
                 # one blank or hyphen between spelled digits goes

@@ -178,6 +178,7 @@ def test_personal_data_equals_plain_patterns(spark, documents, folder):
     "text, kind, span",
     [
         ("write anne (at) mail dot example dot com now", "email", "anne (at) mail dot example dot com"),
+        ("mail anne.lee at mail.example.com.", "email", "anne.lee at mail.example.com"),
         ("é anne[at]example[dot]org", "email", "anne[at]example[dot]org"),
         ("so аnnе@mаil.example.com it is", "email", "аnnе@mаil.example.com"),
         ("ａｎｎｅ＠ｍａｉｌ．ｃｏｍ", "email", "ａｎｎｅ＠ｍａｉｌ．ｃｏｍ"),
@@ -194,7 +195,7 @@ def test_disguised_data(text, kind, span):
     assert pii.redacted(text, pii.personal_spans(text)) == text.replace(span, f"[{kind}]")
 
 
-@pytest.mark.parametrize("text", ["look at example.com", "one two three dot", "we met at work dot", "plus one of two", "a · b", "version 1.2.3"])
+@pytest.mark.parametrize("text", ["look at example.com", "the 5 at example.com", "so it ended. at b.com", "one two three dot", "we met at work dot", "plus one of two", "a · b", "version 1.2.3"])
 def test_plain_prose_is_left_alone(text):
     assert pii.personal_spans(text) == []
 
