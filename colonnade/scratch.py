@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,19 @@ from pyspark.sql import functions as F
 from colonnade.errors import DatasetError
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Note every place taken in the block in ``paths``, in order, for ``removed``."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED[:] = [n for n in _NOTED if n is not paths]
+
+
 @functools.cache
 def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="colonnade-")
@@ -35,8 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, paths: list[str] | None = None) -> str:
     """A fresh place for one table in the shared folder, noted in ``paths``."""
     path = f"{shared_folder(spark)}/colonnade-{uuid.uuid4().hex}"
-    if paths is not None:
-        paths.append(path)
+    for noted in ([] if paths is None else [paths]) + [n for n in _NOTED if n is not paths]:
+        noted.append(path)
     return path
 
 

@@ -76,3 +76,18 @@ def test_released_analyses_leave_no_files(spark, text_dataset):
     assert set(Path(shared_folder(spark)).iterdir()) > before
     found.release()
     assert set(Path(shared_folder(spark)).iterdir()) == before
+
+
+def test_places_taken_in_a_block_are_noted(spark):
+    from colonnade.scratch import noting, removed, written
+
+    outer, inner, own = [], [], []
+    with noting(outer):
+        first = written(spark.range(3), own)
+        with noting(inner):
+            written(spark.range(2))
+        assert first.count() == 3
+    written(spark.range(1))
+    assert len(outer) == 2 and own == outer[:1] and inner == outer[1:]
+    removed(spark, outer)
+    assert outer == []
