@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import line_dedup, packing, pii, quality_classifier, simhash
-from colonnade.scratch import written
+from colonnade.scratch import noting, removed, written
 
 
 def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -61,8 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again for the next."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    """All stages over ``documents``; each result is written and read again for the next.
+    A stage's intermediate tables go once its result is written, its input with them."""
+    docs, used = spark.read.parquet(f"{folder}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, folder))
+        places: list[str] = []
+        with noting(places):
+            docs = written(stage(spark, docs, folder))
+        removed(spark, used + places[:-1])  # the last is the result
+        used = places[-1:]
     return STAGES[-1][1](spark, docs, folder)
