@@ -252,7 +252,36 @@ def insight_sql() -> str:
     SELECT row_number() OVER (ORDER BY block, nth) - 1 AS position, type, title, severity, columns FROM rules WHERE nth <= 2"""
 
 
+def check_sql(dataset: str) -> str:
+    """Every check holds, over as many rows as columns, filters and charts of the sales view
+    ask for. Filters keep types and recommendations, so both queries have the same counts."""
+    whole = ("dimensions", "missing_total")
+    by_column = ("unique_bound", "statistics_match", "row_balance")
+    by_chart = ("axis_types", "valid_row_bound", "chart_alignment", "chart_points")
+    names = ", ".join(
+        f"('{name}', '{per}')"
+        for per, group in (("whole", whole), ("column", by_column), ("chart", by_chart), ("filter", ("filter_columns",)))
+        for name in group
+    )
+    return f"""{SOLD}, n AS (
+      SELECT count(*) FILTER (detected_type = 'datetime') AS d, count(*) FILTER (detected_type = 'numeric') AS q,
+        count(*) FILTER (detected_type IN ('categorical', 'boolean')) AS c,
+        count(*) FILTER (detected_type IN ('categorical', 'boolean') AND unique_count <= 8) AS s
+      FROM facts WHERE unique_count >= 2),
+    sizes AS (
+      SELECT least(6, least(2, d * (1 + q)) + least(2, s) + least(2, c - s + c * q) + least(2, q)
+          + least(2, q * (q - 1) // 2)) AS charts,
+        (SELECT count(*) FROM facts) AS columns,
+        (SELECT count(*) FROM facts WHERE detected_type IN ('numeric', 'datetime')
+          OR (detected_type <> 'text' AND unique_count <= 50)) AS filters FROM n),
+    checks (check_name, per) AS (VALUES {names})
+    SELECT '{dataset}' AS dataset_id, check_name, TRUE AS ok, CAST(CASE per WHEN 'whole' THEN 1
+      WHEN 'column' THEN columns WHEN 'chart' THEN charts ELSE filters END AS BIGINT) AS rows FROM checks, sizes"""
+
+
 ORACLE = {
+    "analysis_checks": check_sql("sales"),
+    "filtered_analysis_checks": check_sql("sales, filtered"),
     "insights_all": insight_sql(),
     "csv_round_trip": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, "
     "CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer",
