@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from colonnade.errors import DatasetError
 from colonnade.operators.statistics import TYPES
 from colonnade.plans.analysis import Analysis
 from colonnade.plans.records import RECOMMENDATION_SCHEMA
+from colonnade.scratch import removed
 from colonnade.small import small_table
 
 DATASETS = (
@@ -36,6 +38,10 @@ TABLES = {
     "datasets": DATASETS,
 }
 PAGE_SIZE = 12
+VERSION = "version"
+# Kinds of charts and of findings.
+CHART_TYPES = ("bar", "donut", "histogram", "line", "scatter")
+SEVERITIES = ("info", "warning")
 
 
 def column_rows(metadata: DataFrame, dataset_id: Column) -> DataFrame:
@@ -104,15 +110,16 @@ def project_page(projects: DataFrame, datasets: DataFrame, owner, page: int) ->
     )
     details = datasets.select("project_id", "filename", "row_count", "column_count")
     shown = details.join(F.broadcast(cut.select("project_id")), "project_id", "left_semi")
-    return cut.join(F.broadcast(shown), "project_id", "left").withColumn("total", total.scalar())
+    return cut.join(shown, "project_id", "left").withColumn("total", total.scalar())
 
 
 class Catalog:
     """Four Parquet tables below one folder, partitioned by dataset.
 
-    A save writes the children first and the dataset row last; only datasets with a row
-    are visible, and writing the same dataset again replaces its partitions, so a save
-    that was cut short can be repeated.
+    A save writes the children under a version of their own and the dataset row last, which
+    names the version. Readers see the children of the named versions only: a save is seen
+    whole or not at all, also when it replaces an earlier one, and one that was cut short
+    can be repeated. What no row names any more is removed by ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -124,26 +131,46 @@ class Catalog:
 
     def _table(self, table: str) -> DataFrame:
         try:
-            return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+            return self.spark.read.schema(f"{TABLES[table]}, {VERSION} string").parquet(self.path(table))
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return small_table(self.spark, [], TABLES[table])
+            return small_table(self.spark, [], f"{TABLES[table]}, {VERSION} string")
 
     def table(self, table: str) -> DataFrame:
         """Rows of completely saved datasets."""
         rows = self._table(table)
-        if table == "datasets":
-            return rows
-        return rows.join(self._table("datasets").select("dataset_id"), "dataset_id", "left_semi")
+        if table != "datasets":
+            named = self._table("datasets").select("dataset_id", VERSION)
+            rows = rows.join(named, ["dataset_id", VERSION], "left_semi")
+        return rows.drop(VERSION)
 
     def _write(self, rows: DataFrame, table: str) -> None:
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("dataset_id").parquet(self.path(table))
+        keys = ["dataset_id"] if table == "datasets" else ["dataset_id", VERSION]
+        writer.partitionBy(*keys).parquet(self.path(table))
+
+    def vacuum(self) -> None:
+        """Remove versions that no dataset row names. Not while a save is running."""
+        named = self._table("datasets").select("dataset_id", VERSION)
+        for table in TABLES:
+            if table != "datasets":
+                rows = self._table(table).select("dataset_id", VERSION, F.input_file_name().alias("file"))
+                files = rows.join(named, ["dataset_id", VERSION], "left_anti").select("file").distinct()
+                removed(self.spark, [row["file"] for row in files.collect()])
 
     def save(
         self, analysis: Analysis, project_id: str, dataset_id: str, filename: str, file_size: int
     ) -> None:
+        if file_size < 0:
+            raise DatasetError("invalid_analysis", "A file has no negative size.")
+        for item in analysis.recommendations:
+            if item.chart_type not in CHART_TYPES:
+                raise DatasetError("invalid_analysis", f"There is no chart type {item.chart_type!r}.")
+        for item in analysis.insights:
+            if item.severity not in SEVERITIES:
+                raise DatasetError("invalid_analysis", f"There is no severity {item.severity!r}.")
+        version = F.lit(uuid.uuid4().hex).alias(VERSION)
         entry = small_table(
             self.spark,
             [(dataset_id, project_id, filename, file_size, analysis.row_count,
@@ -158,15 +185,15 @@ class Catalog:
         if broken is not None:
             raise DatasetError("invalid_analysis", f"Constraint {broken['rule']} is violated.")
         keys = [F.lit(dataset_id).alias("dataset_id"), F.lit(project_id).alias("project_id")]
-        self._write(columns, "dataset_columns")
-        self._write(analysis.recommendation_table().select(*keys, "*"), "visualizations")
-        self._write(analysis.insight_table().select(*keys, "*"), "insights")
-        self._write(entry, "datasets")
+        self._write(columns.select("*", version), "dataset_columns")
+        self._write(analysis.recommendation_table().select(*keys, "*", version), "visualizations")
+        self._write(analysis.insight_table().select(*keys, "*", version), "insights")
+        self._write(entry.select("*", version), "datasets")
 
     def load(self, dataset_id: str) -> dict[str, DataFrame]:
         """The four tables of one saved dataset, read without touching its source."""
         if self._table("datasets").where(F.col("dataset_id") == dataset_id).isEmpty():
             raise DatasetError("dataset_missing", "There is no such saved dataset.")
         return {
-            name: self._table(name).where(F.col("dataset_id") == dataset_id) for name in TABLES
+            name: self.table(name).where(F.col("dataset_id") == dataset_id) for name in TABLES
         }

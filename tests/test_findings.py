@@ -165,6 +165,29 @@ def test_unfinished_save_is_invisible(spark, dashboard, tmp_path):
     assert saved.table("dataset_columns").count() == 3
 
 
+def test_replacing_is_seen_whole_or_not_at_all(spark, dashboard, tmp_path, monkeypatch):
+    saved = Catalog(spark, str(tmp_path / "catalog"))
+    saved.save(dashboard, "p1", "d1", "old.csv", 10)
+    before = {n: t.drop("created_at").collect() for n, t in saved.load("d1").items()}
+    write = Catalog._write
+
+    def torn(self, rows, table):
+        if table == "datasets":
+            raise OSError("lost")
+        write(self, rows, table)
+
+    monkeypatch.setattr(Catalog, "_write", torn)
+    with pytest.raises(OSError):
+        saved.save(dashboard.filter([NumberFilter("Load", minimum=30)]), "p1", "d1", "new.csv", 10)
+    assert {n: t.drop("created_at").collect() for n, t in saved.load("d1").items()} == before
+    monkeypatch.undo()
+    saved.vacuum()
+    assert {n: t.drop("created_at").collect() for n, t in saved.load("d1").items()} == before
+    assert saved._table("dataset_columns").count() == 3
+    with pytest.raises(DatasetError):
+        saved.save(dashboard, "p1", "d1", "old.csv", -1)
+
+
 def test_wrong_results_fail_their_check(dashboard):
     from pyspark.sql import functions as F
 
