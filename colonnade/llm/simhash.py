@@ -129,16 +129,23 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_links_by_key, "a long, b long").distinct()
 
 
-def near_duplicates(frame: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """The frame with ``fp`` and ``component_id``, the least id reachable by links."""
-    kept = [c for c in (frame.columns if keep is None else keep) if c not in ("fp", "component_id")]
-    marked = written(with_fingerprints(frame, text, list(dict.fromkeys([*kept, id_column]))))
+def _grouped(frame: DataFrame, text: str, id_column: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns ``keep`` with ``fp``; and (fp, least, label): each fingerprint's least id
+    and the least fingerprint that it reaches, which marks its component with or without ids."""
+    marked = written(with_fingerprints(frame, text, list(dict.fromkeys([*keep, id_column]))))
     distinct = written(marked.groupBy("fp").agg(F.min(id_column).alias("least")))
     links = written(fingerprint_links(distinct.select("fp")))
     groups = least_reachable(links)
     named = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label")
     )
+    return marked, named
+
+
+def near_duplicates(frame: DataFrame, text: str = "text", id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The frame with ``fp`` and ``component_id``, the least id reachable by links."""
+    kept = [c for c in (frame.columns if keep is None else keep) if c not in ("fp", "component_id")]
+    marked, named = _grouped(frame, text, id_column, kept)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     components = written(named.join(least, "label").select("fp", "component_id"))
     return marked.join(components, "fp").select(*kept, "fp", "component_id")
@@ -146,12 +153,15 @@ def near_duplicates(frame: DataFrame, text: str = "text", id_column: str = "doc_
 
 def one_of_each(frame: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The frame's rows, one per component: that of the least id, then of the least text
-    digest; among equal rows one stays. Without any id in a component, the least digest."""
+    digest; among equal rows one stays. Without any id in a component, the least digest.
+    Components are told apart by their links, not by ids: unlike texts that share an id, or
+    have none, are components of their own."""
     columns = frame.columns
     digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    marked = near_duplicates(frame.withColumn("__digest", digest), text, id_column, [id_column, "__digest"])
+    marked, named = _grouped(frame.withColumn("__digest", digest), text, id_column, [id_column, "__digest"])
     rank = F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("__digest"))
-    best = marked.groupBy("component_id").agg(F.min(rank).alias("best"))
+    marked = marked.join(written(named.select("fp", F.col("label").alias("__label"))), "fp")
+    best = marked.groupBy("__label").agg(F.min(rank).alias("best"))
     chosen = written(best.select(F.col("best").getField(id_column).alias("__id"), F.col("best")["__digest"].alias("__digest")).distinct())
     rows = frame.withColumn("__digest", digest)
     rows = rows.join(chosen, rows[id_column].eqNullSafe(chosen["__id"]) & (rows["__digest"] == chosen["__digest"]), "left_semi")

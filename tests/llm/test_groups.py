@@ -112,6 +112,12 @@ def test_one_document_of_each_group_stays(documents, sentences):
     assert sorted(r["doc_id"] for r in kept) == [5, 6, 8]
 
 
+def test_unlinked_texts_without_an_id_or_with_one_id_all_stay(documents, sentences):
+    a, b, c, d = (sentences(k, 80) for k in range(1, 5))
+    kept = simhash.one_of_each(documents([(None, a), (None, b), (None, b), (4, c), (4, d), (4, d), (5, d)])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(None, a), (None, b), (4, c), (4, d)])
+
+
 def test_repeated_passages_go(spark, documents, folder, sentences):
     """A long line, and a block of short ones, in many documents at shifted places."""
     long_line = sentences(1, 60)
