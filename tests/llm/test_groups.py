@@ -140,6 +140,31 @@ def test_repeated_passages_go(spark, documents, folder, sentences):
         assert made[i]["n_lines"] - made[i]["n_removed_lines"] == len(kept)
 
 
+@pytest.mark.parametrize("width", [8, 12, 18])
+def test_wrapped_passages_of_over_fifty_words_go(width, documents, sentences):
+    """Whatever stands around them, also with a short last line and a blank one inside."""
+    texts, passages = [], []
+    for i in range(30):
+        words = sentences(7000 + i, 51 + i % 10).split()
+        passage = [" ".join(words[k : k + width]) for k in range(0, len(words), width)]
+        passages.append(passage[:1] + [""] * (i % 2) + passage[1:])
+        for j in range(2):
+            own = [sentences(100 * (2 * i + j) + k, 5 + (i + k) % 9) for k in range(6)]
+            texts.append("\n".join([*own[:3], *passages[-1], *own[3:]]))
+    made = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(texts)).collect()}
+    for i, passage in enumerate(passages):
+        own = texts[2 * i + 1].split("\n")
+        assert made[2 * i]["text"] == texts[2 * i]
+        assert made[2 * i + 1]["text"].split("\n") == own[:3] + own[-3:]
+        assert made[2 * i + 1]["n_removed_lines"] == len(passage)
+
+
+def test_a_passage_stays_once_within_a_text(sentences):
+    own, other = [sentences(k, 9) for k in range(7)], [sentences(50 + k, 11) for k in range(3)]
+    kept, lines, removed = line_dedup.without_chunks("\n".join([*own, *other, *own]), set())
+    assert kept.split("\n") == [*own, *other] and (lines, removed) == (17, 7)
+
+
 def test_line_dedup_equals_a_plain_version(documents, sentences):
     chosen = random.Random(3)
     pool = [sentences(i, chosen.randint(0, 30)) for i in range(40)]
