@@ -74,7 +74,7 @@ def phrase_columns(text: Column) -> dict[str, Column]:
         return F.regexp_count(part, F.lit(f"{_IN}+")).cast("long")
 
     present = text.rlike(ANY_PLACE)
-    before_first = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(ANY_PLACE)) - 1)
+    before_first = F.regexp_extract(text, f"(?s)^(.*?){ANY_PLACE}", 1)  # places would count UTF-16 units
     before_last = F.regexp_extract(text, f"(?s)^(.*){ANY_PLACE}", 1)
     labels = [
         F.when(text.rlike(rf"(?i)(?<!{_IN}){_place(phrase)}"), F.lit(label))

@@ -247,6 +247,14 @@ def test_notices_equal_a_plain_scan(spark, documents, folder):
         assert row["score"] == pytest.approx(plain[6])
 
 
+def test_first_phrase_after_characters_above_the_basic_plane(documents):
+    texts = ["\U0001F600\U0001F600 cc by", "a \U00020000 b\n\U0001F600 CC-BY x cc by", "\U0001F600"]
+    made = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
+    for i, text in enumerate(texts):
+        assert (made[i]["first_word"], made[i]["last_word"]) == _plain_scan(text)[2:4]
+    assert made[0]["first_word"] == 1
+
+
 def test_notices_need_no_python(documents, capsys):
     licenses.license_scan(documents(["all rights reserved"])).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
