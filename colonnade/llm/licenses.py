@@ -1,7 +1,8 @@
 """Licence notices: fixed phrases, and text blocks that hold a known notice.
 
-A block is a line; a notice is found where a block holds at least ``CONTAINMENT`` of its
-distinct words. The join of blocks and notices is exact. All words of the notices are put in
+A block is a line with the words that follow it, as many as the longest notice has less one,
+so a notice wrapped over lines lies whole in the block of its first line. A notice is found
+where a block holds at least ``CONTAINMENT`` of its distinct words. The join of blocks and notices is exact. All words of the notices are put in
 one order, the rarest in the corpus first. Of a notice with n words of which m must be met,
 one of its first n - m + 1 must stand in the block, so only these are looked up. A block
 with fewer than m of the notices' words is no match (length), nor is one where the words
@@ -94,11 +95,14 @@ def _literal(words: list[str]) -> Column:
 
 
 def notice_blocks(texts: DataFrame) -> DataFrame:
-    """(digest, tokens) of each line: the notices' words that it holds. ``texts``: digest,
-    text. Lines with too few of them for any notice are left out."""
+    """(digest, tokens) of each block: the notices' words that it holds. ``texts``: digest,
+    text. Blocks with too few of them for any notice are left out."""
     vocabulary = sorted({w for notice in NOTICES for w in notice.split(" ")})
     least = min(needed(len(set(n.split(" ")))) for n in NOTICES)
-    lines = texts.select("digest", F.explode(F.split(lower_ascii(F.col("text")), "\n")).alias("line"))
+    after = max(len(n.split(" ")) for n in NOTICES) - 1
+    block = rf"(?<![^\n])(?=([^\n]*+(?:{_OUT}*+{_IN}++){{0,{after}}}+))"
+    blocks = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(block), F.lit(1))
+    lines = texts.select("digest", F.explode(blocks).alias("line"))
     tokens = F.array_intersect(_literal(vocabulary), F.split("line", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     return lines.select("digest", tokens.alias("tokens")).where(F.size("tokens") >= least)
 

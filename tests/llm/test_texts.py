@@ -247,6 +247,18 @@ def test_notices_equal_a_plain_scan(spark, documents, folder):
         assert row["score"] == pytest.approx(plain[6])
 
 
+def test_wrapped_notices(documents):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy\n */",
+        "\n".join("# " + w + "\n#" for w in "Redistribution and use in source and binary forms, with or without modification".split()),
+        "Licensed under\n" + "x " * 20 + "\nthe MIT license",
+    ]
+    made = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
+    assert [made[i]["labels"] for i in range(4)] == ["mit", "mpl-2.0", "bsd", ""]
+    assert [made[i]["score"] for i in range(4)] == [1.0, 1.0, 1.0, 0.0]
+
+
 def test_first_phrase_after_characters_above_the_basic_plane(documents):
     texts = ["\U0001F600\U0001F600 cc by", "a \U00020000 b\n\U0001F600 CC-BY x cc by", "\U0001F600"]
     made = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
