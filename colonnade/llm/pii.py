@@ -125,14 +125,18 @@ _ALIKE = _look_alikes()
 _ALIKE_RUN = re.compile("[" + "".join(map(re.escape, _ALIKE)) + "]")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _LABEL = r"[A-Za-z0-9-]+"
-_DOT_WORD = rf"(?: ?{_OPEN} ?(?:dot|\.) ?{_CLOSE} ?| dot )"
+_GAP = r"[ \t-\r]"
+#: White space before a word, entered at its start only, so that runs are scanned once.
+_BEFORE = rf"(?<!{_GAP}){_GAP}++"
+_DOT_WORD = rf"(?:(?:{_BEFORE})?{_OPEN}{_GAP}*+(?:dot|\.){_GAP}*+{_CLOSE}{_GAP}*+|{_BEFORE}dot{_GAP}++)"
 _ENDING = r"[A-Za-z][A-Za-z0-9-]"
 _DISGUISES = re.compile(
     # "(at)" in brackets, or the bare word where "dot" follows in brackets or as a word
-    rf"(?P<at> ?{_OPEN} ?(?:at|@) ?{_CLOSE} ?(?={_LABEL}(?:{_DOT_WORD}|\.){_ENDING})"
-    rf"| at (?={_LABEL}{_DOT_WORD}{_ENDING}))"
-    # the bare word before a plain host, which counts after a name that prose does not have
-    rf"|(?P<host> at (?={_LABEL}\.{_ENDING}|{_LABEL}(?:\.{_LABEL})+\.{_ENDING}))"
+    rf"(?P<at>(?:{_BEFORE})?{_OPEN}{_GAP}*+(?:at|@){_GAP}*+{_CLOSE}{_GAP}*+(?={_LABEL}(?:{_DOT_WORD}|\.){_ENDING})"
+    rf"|{_BEFORE}at{_GAP}++(?={_LABEL}{_DOT_WORD}{_ENDING}))"
+    # the bare word before a plain host, which counts after a name that prose does not have,
+    # and after a plain name where the words before it or the host speak for an address
+    rf"|(?P<host>{_BEFORE}at{_GAP}++(?=(?P<where>{_LABEL}(?:\.{_LABEL})*\.{_ENDING}+)))"
     rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT_WORD}(?=[A-Za-z0-9]))"
     r"|(?P<plus>(?<![A-Za-z])plus ?(?=[0-9]|(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z])))"
     r"|(?P<digit>(?<![A-Za-z])(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z]))",
@@ -140,14 +144,47 @@ _DISGUISES = re.compile(
 )
 #: A name of letters with digits, points or lines in it.
 _NAME = re.compile(r"(?<![^\s])(?=[^\s]*[A-Za-z])[A-Za-z0-9%+-]*[0-9._][A-Za-z0-9._%+-]*(?<=[A-Za-z0-9])\Z")
+#: A word that can be a name, with up to four words before it.
+_PLAIN_NAME = re.compile(rf"((?:[^\s]+{_GAP}+){{0,4}})(?<![^\s])([A-Za-z]{{2,32}})\Z")
+#: Words before a name that announce an address; hosts that carry mail; words
+#: that stand before "at" in prose.
+_CUE = re.compile(r"(?<![A-Za-z])(?:e-?mail(?:s|ed|ing)?|mail(?:s|ed|ing|to)?|contact(?:s|ed|ing)?|writ(?:e|es|ing|ten)|reach(?:es|ed|able|ing)?)(?![A-Za-z])", re.IGNORECASE)
+_MAIL_HOST = re.compile(
+    r"(?:(?:gmail|googlemail|hotmail|outlook|live|msn|icloud|me|aol|protonmail|fastmail|zoho|mail|qq|163|126)\.com"
+    r"|(?:yahoo|hotmail|gmx|yandex|live|outlook)\.[a-z]{2,3}(?:\.[a-z]{2})?|web\.de|proton\.me|t-online\.de|mail\.ru)\Z",
+    re.IGNORECASE,
+)
+_PROSE = frozenset(
+    "me us him her them you it we they he she one this that these those all both any each none and or but not so then "
+    "now here there up out in on off down back over again is are was were be been being am do does did done has have had "
+    "get got go goes going went gone come comes came look looks looked looking see sees saw seen seeing find finds found "
+    "work works worked working live lives lived meet meets met start starts started end ends ended stay stays stayed "
+    "host hosts hosted run runs running read reads buy bought sell sold sign signed join joined visit visits visited "
+    "available located listed posted published online directly only just even still also more mail mails email emails "
+    "mailed emailed mailing contact contacts contacted write writes wrote written writing reach reached reachable "
+    "address addresses account accounts inbox page pages site sites website form article download shop store".split()
+)
 #: A letter for a digit inside a number.
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl](?=[0-9])")
 _MAY_HIDE = re.compile(
-    r"[\[({<] ?(?:at|dot|@|\.) ?[\])}>]| dot |\bplus ?[0-9]| at [A-Za-z0-9-]+\.[A-Za-z0-9]", re.IGNORECASE
+    rf"[\[({{<]{_GAP}*+(?:at|dot|@|\.){_GAP}*+[\])}}>]|{_GAP}dot{_GAP}|\bplus ?[0-9]|{_GAP}at{_GAP}++[A-Za-z0-9-]+\.[A-Za-z0-9]",
+    re.IGNORECASE,
 )
 _MAY_SPELL = re.compile(r"(?<![A-Za-z])(?:" + "|".join(_DIGIT_WORDS) + r")(?![A-Za-z])", re.IGNORECASE)
 
 
+def _speaks_for_address(before: str, word: str, host: str) -> bool:
+    """Whether a name ends ``before``, where ``word`` ("at") and a plain host follow: one
+    that prose does not have, or a plain one beside a cue, a mail host or an "AT"."""
+    if _NAME.search(before):
+        return True
+    plain = _PLAIN_NAME.search(before)
+    if plain is None or plain[2].lower() in _PROSE:
+        return False
+    shouted = word.strip() == "AT" and not plain[2].isupper()
+    return shouted or _MAIL_HOST.match(host) is not None or _CUE.search(plain[1]) is not None
+
+
 class _Written:
     """Text under rewriting, with the source span of each of its characters."""
 
@@ -179,7 +216,7 @@ def _undisguised(text: str) -> _Written | None:
         changes: list[tuple[int, int, str]] = []
         for m in _DISGUISES.finditer(out.text):
             begin, put = m.start(), {"at": "@", "host": "@", "dot": ".", "plus": "+"}.get(m.lastgroup)
-            if m.lastgroup == "host" and not _NAME.search(out.text[max(0, begin - 80) : begin]):
+            if m.lastgroup == "host" and not _speaks_for_address(out.text[max(0, begin - 80) : begin], m[0], m["where"]):
                 continue
             if put is None:
                 put = str(_DIGIT_WORDS.index(m[0].lower()))

@@ -195,6 +195,34 @@ def test_disguised_data(text, kind, span):
     assert pii.redacted(text, pii.personal_spans(text)) == text.replace(span, f"[{kind}]")
 
 
+@pytest.mark.parametrize(
+    "text, span",
+    [
+        ("mail bob at gmail.com", "bob at gmail.com"),
+        ("Jane AT example.org", "Jane AT example.org"),
+        ("please write to our friend bob at example.org.", "bob at example.org"),
+        ("contact sales  at\texample.org", "sales  at\texample.org"),
+        ("x bob at  gmail dot com y", "bob at  gmail dot com"),
+        ("x bob\tat gmail\tdot\tcom y", "bob\tat gmail\tdot\tcom"),
+        ("x bob at\ngmail  dot\ncom y", "bob at\ngmail  dot\ncom"),
+        ("x bob  (  at )  gmail [dot  ]  com y", "bob  (  at )  gmail [dot  ]  com"),
+    ],
+)
+def test_plain_names_and_runs_of_blanks(text, span):
+    start = text.index(span)
+    assert pii.personal_spans(text) == [("email", start, start + len(span), False)]
+
+
+@pytest.mark.parametrize("text", ["contact us at example.com", "she works at gmail.com", "reach them at example.com", "Bob at example.com", "LOOK AT EXAMPLE.COM", "an email account at gmail.com"])
+def test_prose_beside_cues_is_left_alone(text):
+    assert pii.personal_spans(text) == []
+
+
+@pytest.mark.parametrize("run", [" ", "\n\t", " at ", "( ", " at  dot ", "a at b.", " at b-"])
+def test_runs_of_blanks_take_linear_time(run):
+    pii.personal_spans(run * 50_000)
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "the 5 at example.com", "so it ended. at b.com", "one two three dot", "we met at work dot", "plus one of two", "a · b", "version 1.2.3"])
 def test_plain_prose_is_left_alone(text):
     assert pii.personal_spans(text) == []
