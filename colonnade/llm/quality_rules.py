@@ -2,7 +2,10 @@
 
 Every document gets its statistics. Two rules fail it outright: under fifty words, or more
 than half of its words in repeated three-word windows. The forest isolates points by random
-splits on rates made from the statistics; short mean paths mean an unusual document. It
+splits on rates made from the statistics; short mean paths mean an unusual document. A
+second forest sees how far word length, repeated lines and number of words lie from the
+usual, over a box that reaches beyond the labelled rows, so that blobs and letters that no
+label showed are isolated too. The higher score counts. It
 grows on a bounded sample of labelled rows (each tree on 256 good ones); the threshold comes from the scores of all labelled rows: the lowest at which no more than
 ``spared`` of the good ones are rejected.
 
@@ -13,6 +16,7 @@ the two rules. Repeated rows get equal results. Columns named like the results a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import compress
@@ -31,6 +35,11 @@ SYMBOLS = "#*$%&|<>"
 _WORD = re.compile(r"[^ \t-\r]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("symbol_rate", "repeat_rate", "upper_rate", "shout_rate")
+SHAPE = ("word_length_log", "dup_line_rate", "n_words_log")
+#: How far from the usual the second forest's box reaches at least, in each of ``SHAPE``.
+FAR = (6.0, 1.0, 12.0)
+#: Shares of good rows below the scores that the two forests' scales are matched at.
+MATCHED = (0.997, 0.9995)
 SAMPLE, TREES, SUBSAMPLE, DEPTH = 10_000, 100, 256, 12
 
 
@@ -48,7 +57,7 @@ def repeated_words(words: list[str]) -> int:
 
 
 def text_statistics(text: str | None) -> tuple:
-    """``COUNTS``, then ``RATES``."""
+    """``COUNTS``, then ``RATES``, then ``SHAPE``."""
     text = text or ""
     words = _WORD.findall(text)
     n, chars = len(words), sum(map(len, words))
@@ -59,12 +68,13 @@ def text_statistics(text: str | None) -> tuple:
         symbols / max(chars, 1), repeated / max(n, 1),
         sum(map(str.isupper, words)) / max(n, 1), text.count("!") / max(n, 1),
     )
-    return (n, chars, symbols, dup, repeated, *rates)
+    shape = (math.log2(chars / n) if n else 0.0, dup / max(len(lines), 1), math.log2(max(n, 1)))
+    return (n, chars, symbols, dup, repeated, *rates, *shape)
 
 
 def with_statistics(frame: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The frame with ``COUNTS`` (long) and ``RATES`` (double) of its texts."""
-    fields = [(c, T.LongType()) for c in COUNTS] + [(c, T.DoubleType()) for c in RATES]
+    """The frame with ``COUNTS`` (long), ``RATES`` and ``SHAPE`` (double) of its texts."""
+    fields = [(c, T.LongType()) for c in COUNTS] + [(c, T.DoubleType()) for c in (*RATES, *SHAPE)]
 
     def make():
         return lambda texts: zip(*map(text_statistics, texts))
@@ -129,8 +139,31 @@ class IsolationForest:
         return 2.0 ** (-total / (max(len(self.trees), 1) * self.scale))
 
 
-def fit_forest(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> IsolationForest:
-    """A forest from at most ``sample`` labelled rows that the two rules leave, the first by
+class TwoForests:
+    """A forest on ``RATES`` and one on distances from the usual ``SHAPE``, over all columns
+    of ``points``; the second one's scores are shifted onto the first one's scale."""
+
+    def __init__(self, points: np.ndarray, usual: np.ndarray):
+        n = len(RATES)
+        self.rates = IsolationForest(points[:, :n], usual[:, :n])
+        self.middle = np.median(usual[:, n:], axis=0) if len(usual) else np.zeros(len(SHAPE))
+        box = np.vstack([self._apart(points), np.zeros(len(SHAPE)), FAR])
+        self.shape, self.shift = IsolationForest(box, self._apart(usual)), 0.0
+        if len(usual):
+            first, second = self.rates.score(usual[:, :n]), self.shape.score(self._apart(usual))
+            self.shift = float(np.quantile(first, MATCHED[0]) - np.quantile(second, MATCHED[1]))
+
+    def _apart(self, points: np.ndarray) -> np.ndarray:
+        return np.abs(points[:, len(RATES) :] - self.middle)
+
+    def score(self, points: np.ndarray) -> np.ndarray:
+        """The higher of both; higher: isolated sooner."""
+        first = self.rates.score(points[:, : len(RATES)])
+        return np.maximum(first, self.shape.score(self._apart(points)) + self.shift)
+
+
+def fit_forest(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> TwoForests:
+    """Forests from at most ``sample`` labelled rows that the two rules leave, the first by
     a hash of their id: all of them bound the box, the good ones are the usual points."""
     chosen = (
         labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
@@ -138,20 +171,20 @@ def fit_forest(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     )
     rows = (
         statistics.where("NOT base_failed").join(F.broadcast(chosen), "doc_id")
-        .select("quality", *RATES).orderBy(F.xxhash64("doc_id"), *RATES).limit(sample).toPandas()
+        .select("quality", *RATES, *SHAPE).orderBy(F.xxhash64("doc_id"), *RATES, *SHAPE).limit(sample).toPandas()
     )
-    points = rows[list(RATES)].to_numpy(dtype=float)
-    return IsolationForest(points, points[rows["quality"].to_numpy() == 1])
+    points = rows[[*RATES, *SHAPE]].to_numpy(dtype=float)
+    return TwoForests(points, points[rows["quality"].to_numpy() == 1])
 
 
-def with_anomaly(statistics: DataFrame, forest: IsolationForest) -> DataFrame:
+def with_anomaly(statistics: DataFrame, forest: TwoForests) -> DataFrame:
     """The statistics with ``anomaly``, the forest's score."""
 
     @F.pandas_udf(T.DoubleType())
     def anomaly(*columns: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack(columns)))
 
-    return statistics.withColumn("anomaly", anomaly(*RATES))
+    return statistics.withColumn("anomaly", anomaly(*RATES, *SHAPE))
 
 
 def calibrated(scored: DataFrame, labels: DataFrame, spared: float = 0.003) -> float:

@@ -129,6 +129,16 @@ def test_rule_counts_and_verdicts(spark, documents, labels, folder, sentences):
     assert np.mean([r["kept"] for r in judged if quality[r["doc_id"]] == 0]) < 0.1
 
 
+def test_blobs_and_single_letters_are_rejected(documents, labels, sentences):
+    chosen = random.Random(4)
+    prose, marks = _prose_and_junk(sentences)
+    blobs = ["\n".join("".join(chosen.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(200)) for _ in range(5)]
+    letters = [" ".join(chosen.choices("abcdefghijklmnopqrstuvwxyz", k=200)) for _ in range(5)]
+    rows = quality_rules.rule_verdicts(documents(prose + blobs + letters), labels(marks)).collect()
+    odd = [r for r in rows if r["doc_id"] >= len(prose)]
+    assert len(odd) == 10 and not any(r["base_failed"] or r["kept"] for r in odd)
+
+
 def test_forest_isolates_what_lies_apart():
     chosen = np.random.default_rng(0)
     usual = np.abs(chosen.normal(0, 0.01, (500, 4)))
