@@ -18,7 +18,6 @@ ones too; an empty table gives no rows; null ids are kept as they are.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,14 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.llm.batches import MOST_TASKS
 from colonnade.llm.batches import pieces as cut_batches
-from colonnade.llm.bpe import WORDS, Vocabulary
+from colonnade.llm.byte_ids import ids_with_added
 from colonnade.scratch import written
 
 CAPACITY, SEPARATOR = 2_048, 0
@@ -43,18 +41,9 @@ POPULATION, GENERATIONS, PATIENCE, INJECTED = 6, 40, 8, 0.3
 Bin = tuple[int, ...]  # lengths, descending
 
 
-@functools.lru_cache(maxsize=2)
-def _encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary file for the faster of two libraries that give the same ids."""
-    own = Vocabulary(path)
-    return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=own.ids, special_tokens=own.added)
-
-
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """The ids of a text and the separator."""
-    ids = _encoding(path).encode(text or "", allowed_special="all")
-    ids.append(SEPARATOR)
-    return np.array(ids, dtype="<u4")
+    return np.array([*ids_with_added(text or "", path), SEPARATOR], dtype="<u4")
 
 
 def document_pieces(frame: DataFrame, path: str, text: str = "text", id_column: str = "doc_id", with_ids: bool = False, capacity: int = CAPACITY) -> DataFrame:
