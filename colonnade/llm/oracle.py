@@ -72,4 +72,33 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(starts) AS BIGINT) A
 FROM texts JOIN places USING (row_id) LEFT JOIN found USING (row_id)
 """
 
-ORACLE: dict[str, str] = {"op5_top_k": OP5, "op8_licenses": OP8}
+OP11 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {_words("coalesce(text, '')")} AS terms
+  FROM documents
+), i AS (
+  SELECT row_number() OVER () AS number, item_id, {_words("coalesce(text, '')")} AS terms
+  FROM benchmark
+), corpus AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0
+), wanted AS (
+  SELECT number, item_id, term, count(*) AS times FROM (SELECT number, item_id, unnest(terms) AS term FROM i) GROUP BY ALL
+), held AS (
+  SELECT row_id, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row_id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, corpus GROUP BY term
+), scores AS (
+  SELECT number, item_id, row_id, doc_id,
+    CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term), corpus GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op5_top_k": OP5, "op8_licenses": OP8, "op11_lexical_search": OP11}

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import (
-    bpe, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk, toxicity,
+    alignment, bpe, language_id, lexical_search, licenses, line_dedup, packing, pii, quality_classifier, quality_rules,
+    simhash, topk, toxicity,
 )
 
-VOCABULARY = "byte_bpe_50k.json"
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -99,10 +100,28 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical_search.build_index(_table(spark, folder, "documents"))
+    return lexical_search.search(index, _table(spark, folder, "benchmark"), 10)
+
+
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    models = language_id.train(docs.where(_fold(5) != 0))
+    scored = language_id.with_language(docs, models, keep=["doc_id"])
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "lang_pred", "score", "cross_entropy", "accepted")
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return alignment.align_tokens(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES)).documents
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_toxicity, op2_personal_data, op3_line_dedup, op4_quality_rules, op5_top_k, op6_packing,
-        op7_encoding, op8_licenses, op9_quality, op10_near_duplicates,
+        op7_encoding, op8_licenses, op9_quality, op10_near_duplicates, op11_lexical_search, op12_language,
+        op13_alignment,
     )
 }

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+import public_tokenizers
 from colonnade.llm import (
-    bpe, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk, toxicity,
+    alignment, bpe, language_id, licenses, line_dedup, packing, pii, quality_classifier, quality_rules, simhash, topk,
+    toxicity,
 )
 
 
@@ -21,6 +23,7 @@ def _quality(docs, labels, _):
     return quality_classifier.with_quality(docs, quality_classifier.train(docs, labels))
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 OPERATORS = {
     "toxicity": _toxicity,
     "pii": lambda docs, _, __: pii.find_personal_data(docs, redact=True),
@@ -32,10 +35,12 @@ OPERATORS = {
     "quality": _quality,
     "simhash": lambda docs, _, __: simhash.near_duplicates(docs),
     "one of each": lambda docs, _, __: simhash.one_of_each(docs),
+    "language": lambda docs, _, __: language_id.with_language(docs, language_id.train(docs)),
+    "alignment": lambda docs, _, path: alignment.align_tokens(docs, path, PIECES).documents,
 }
 RESULTS = (
     "score spans n_lines n_removed_lines ids decoded fp component_id labels anomaly kept digest "
-    "n_words base_list label hash shard stat_words buckets"
+    "n_words base_list label hash shard stat_words buckets accepted n_a groups pairs place id"
 ).split()
 
 
