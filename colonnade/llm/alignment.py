@@ -1,14 +1,15 @@
 """Alignment of the tokens of two tokenizers over the same bytes.
 
 A text is encoded as space + text by a byte-level BPE (A) and as text by a sentence-piece
-model that puts a space in front itself (B). Each tokenization is a list of byte ends. The
-shorter list is walked, and each of its ends is sought in the longer one from the place of
-the one before: steps that double until they pass it, then binary search between the last
-two. The places found are ranks. Ends that both lists hold cut the tokens into groups; the
-difference of consecutive ranks gives the tokens that each token overlaps.
+model that puts a space in front itself (B). Texts are cut at single blanks that follow a
+non-blank, where both tokenizers begin a new token, and each distinct cut is encoded once
+per worker and kept.
 
-Texts are cut at single blanks that follow a non-blank, where both tokenizers begin a new
-token, and each distinct cut is encoded once per worker and kept.
+Each tokenization is a list of byte ends. Each end of the shorter list is sought in the
+longer one from where its cut begins: steps that double until they pass it, then binary
+search within the last step. The places found are ranks. Ends that both lists hold cut the
+tokens into groups; the difference of consecutive ranks gives the tokens that each token
+overlaps.
 
 Corpus-wide counts go by shard, the documents of one piece of a batch: a shard is written
 as one row with its distinct id pairs and how many of its documents hold each. The pairs
@@ -26,7 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -53,19 +54,26 @@ CUT = re.compile(r"(?<=\S) ")
 MOST_CUTS = 400_000
 
 
-def galloped(short: list[int], long: list[int]) -> list[int]:
-    """For each of the ascending ends in ``short``, how many of ``long`` are smaller. The
-    last one of ``long`` is at least as large as any of ``short``."""
-    ranks, at, size = [], 0, len(long)
-    for end in short:
-        if long[at] < end:
-            step, probe = 1, at + 1
-            while probe < size and long[probe] < end:
-                at, step = probe, step * 2
-                probe = at + step
-            at = probe if step == 1 else bisect_left(long, end, at + 1, min(probe, size))
-        ranks.append(at)
-    return ranks
+def galloped(short: np.ndarray, long: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each of the ascending ends in ``short``, how many of ``long`` are smaller; as
+    many as ``seeds`` says are known to be. The last one of ``long`` is at least as large
+    as any of ``short``. All searches advance together: steps double until they pass the
+    end sought, then the last step is halved."""
+    low, high, step = seeds - 1, seeds.copy(), 1
+    going = np.flatnonzero(long[high] < short)
+    while len(going):
+        low[going] = high[going]
+        high[going] = np.minimum(high[going] + step, len(long) - 1)
+        step *= 2
+        going = going[long[high[going]] < short[going]]
+    going = np.flatnonzero(high - low > 1)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        below = long[middle] < short[going]
+        low[going[below]] = middle[below]
+        high[going[~below]] = middle[~below]
+        going = going[high[going] - low[going] > 1]
+    return high
 
 
 @dataclass
@@ -81,11 +89,14 @@ class Aligned:
     link_b: np.ndarray
 
 
-def aligned(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
-    """``ends_a`` and ``ends_b`` end alike."""
+def aligned(
+    a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray
+) -> Aligned:
+    """``ends_a`` and ``ends_b`` end alike. The sizes are numbers of tokens by cut: both
+    lists have an end after each cut, so a token's search begins where its cut does."""
     turned = len(a) > len(b)
-    short, long = (ends_b, ends_a) if turned else (ends_a, ends_b)
-    rank = np.array(galloped(short.tolist(), long.tolist()), np.int64)
+    short, long, own, other = (ends_b, ends_a, sizes_b, sizes_a) if turned else (ends_a, ends_b, sizes_a, sizes_b)
+    rank = galloped(short, long, np.repeat(np.cumsum(other) - other, own))
     common = long[rank] == short
     cuts_short = np.concatenate([[0], np.flatnonzero(common) + 1])
     cuts_long = np.concatenate([[0], rank[common] + 1])
@@ -116,7 +127,7 @@ class Tokenizers:
         self.blank = self.model.piece_to_id("▁")
         # Each id as text with what follows it: for a comma or bar, for b comma or semicolon
         self.shown = [f"{i}{c}" for size, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for c in marks for i in range(size)]
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
 
     def learn(self, cuts: set[str]) -> None:
         """Encode cuts that are not known yet."""
@@ -127,20 +138,22 @@ class Tokenizers:
             spaced = " " + cut
             b = b if cut else [self.blank]
             same = b"".join([self.bytes_b[i] for i in b]) == spaced.encode()
-            self.known[cut] = plain_ids(spaced, self.path), b, same
+            a = plain_ids(spaced, self.path)
+            self.known[cut] = array("i", a).tobytes(), array("i", b).tobytes(), same
 
     def align(self, text: str | None, cuts: list[str]) -> Aligned | None:
         """None where there are no tokens. The cuts of the text must be known."""
         if not text:
             return None
-        own = [self.known[c] for c in cuts]
-        a = np.fromiter(chain.from_iterable([x[0] for x in own]), np.int64)
-        b = np.fromiter(chain.from_iterable([x[1] for x in own]), np.int64)
-        if not all([x[2] for x in own]):
+        all_a, all_b, same = zip(*[self.known[c] for c in cuts])
+        a = np.frombuffer(b"".join(all_a), "<i4").astype(np.int64)
+        b = np.frombuffer(b"".join(all_b), "<i4").astype(np.int64)
+        if not all(same):
             whole = (" " + text).encode()
             if any(b"".join([table[i] for i in ids]) != whole for table, ids in ((self.bytes_a, a), (self.bytes_b, b))):
                 return None
-        return aligned(a, b, np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b]))
+        sizes_a, sizes_b = (np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in (all_a, all_b))
+        return aligned(a, b, np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b]), sizes_a, sizes_b)
 
     def groups(self, made: Aligned) -> str:
         """``a1,a2|b1;a3|b2,b3``"""

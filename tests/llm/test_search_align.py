@@ -182,7 +182,9 @@ def test_galloping_gives_ranks(seed):
     top = chosen.choice([5, 50, 2_000])
     long = sorted(chosen.sample(range(1, top + 1), chosen.randint(1, top)) + [top])
     short = sorted(chosen.sample(range(1, top + 1), chosen.randint(1, min(top, 20))))
-    assert alignment.galloped(short, long) == np.searchsorted(long, short).tolist()
+    ranks = np.searchsorted(long, short)
+    for seeds in (np.zeros(len(short), np.int64), ranks, ranks // 2):
+        assert alignment.galloped(np.array(short), np.array(long), seeds).tolist() == ranks.tolist()
 
 
 # ---- ids of very long runs
