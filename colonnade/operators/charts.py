@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from colonnade import config as C
 from colonnade.dataset import ROW, Dataset, parsing
-from colonnade.functions import is_blank
 from colonnade.functions.labels import short
+from colonnade.operators.frequencies import entry_blank
 from colonnade.operators.order import positioned
 from colonnade.operators.ranks import even, values_at_ranks
 from colonnade.operators.schema import Profile, safe_sum, total_of
@@ -35,8 +35,7 @@ def aggregated(rows: DataFrame, key: str, aggregation: str) -> DataFrame:
 def category_rows(source: Dataset | Profile, x: str, y: str | None) -> DataFrame:
     """``(x, y, n)`` rows; counts come from the written frequencies where there are any."""
     if y is None and isinstance(source, Profile):
-        position = source.by_name[x]["position"]
-        chosen = source.freq.where((F.col("position") == position) & ~is_blank(F.col("value")))
+        chosen = source.values_of([source.by_name[x]]).where(~entry_blank())
         return chosen.select(F.col("value").alias("x"), F.lit(1.0).alias("y"), "n")
     ds = source.rows if isinstance(source, Profile) else parsing(source, [y])
     number = ds.number(y) if y else F.lit(1.0)

@@ -16,6 +16,7 @@ from colonnade import config as C
 from colonnade.dataset import Dataset, quoted
 from colonnade.errors import DatasetError
 from colonnade.functions import is_blank
+from colonnade.operators.frequencies import entry_blank
 from colonnade.operators.schema import Profile
 
 
@@ -49,13 +50,14 @@ Rule = CategoryFilter | NumberFilter | DateFilter
 
 def filter_fields(profile: Profile) -> DataFrame:
     """``(position, name, kind, values)``: filterable columns; labels sorted, at most 50."""
-    labelled = [
-        f["position"]
+    facts = [
+        f
         for f in profile.of_type("categorical", "boolean")
         if f["unique_count"] <= C.MAX_FILTER_VALUES
     ]
     ranged = [f["position"] for f in profile.of_type("numeric", "datetime")]
-    present = profile.freq.where(F.col("position").isin(labelled) & ~is_blank(F.col("value")))
+    labelled = [f["position"] for f in facts]
+    present = profile.values_of(facts).where(~entry_blank())
     values = present.groupBy("position").agg(F.array_sort(F.collect_list("value")).alias("values"))
     kind = F.when(F.col("position").isin(ranged), F.col("detected_type")).otherwise("categorical")
     chosen = profile.counts.where(F.col("position").isin(labelled + ranged))

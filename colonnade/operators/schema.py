@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from colonnade.config import ProfileConfig
 from colonnade.dataset import ROW, Dataset, spread
-from colonnade.functions import is_blank, percentage, stripped
+from colonnade.functions import percentage
 from colonnade.functions.names import BOOLEAN_DIGITS, BOOLEAN_WORDS, suggests_boolean
-from colonnade.operators.frequencies import column_names, first_values, gathered
-from colonnade.operators.frequencies import parsed_frequencies, value_frequencies
+from colonnade.operators.frequencies import COMPLETE, column_names, entry_start, entry_unsure, first_values, gathered
+from colonnade.operators.frequencies import keyed_frequencies, parsed_frequencies, settled, top_values, whole_texts
 from colonnade.scratch import removed, written
 from colonnade.small import small_table
 
@@ -48,24 +48,26 @@ def column_counts(freq: DataFrame) -> DataFrame:
     Distinct values are weighted by their count; the groups are the columns, and partial
     aggregation leaves one row per column and task to shuffle.
     """
-    value = F.col("value")
-    parsed = freq.select(
-        "position", "n", "x", "nanos", is_blank(value).alias("blank"),
-        F.lower(stripped(value)).alias("clean"),
-    )
+    freq = freq.select(
+        "position", "n", "x", "nanos", "cut", F.lower(entry_start()).alias("clean"), entry_unsure().alias("unsure"),
+        # Of what is seen of an unsettled text no more than its beginning is known
+        (F.col("cut") & F.col("start").isNull()).alias("open"),
+    ).withColumn("blank", F.col("clean") == "")
     n, blank, x = F.col("n"), F.col("blank"), F.col("x")
 
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")
 
-    grouped = parsed.groupBy("position").agg(
+    grouped = freq.groupBy("position").agg(
         F.sum(n).alias("rows"),
         rows_where(blank).alias("missing_count"),
         F.count_if(~blank).alias("unique_count"),
         rows_where(x.isNotNull()).alias("numeric_valid"),
         rows_where(F.col("nanos").isNotNull()).alias("datetime_valid"),
-        F.count_if(~blank & ~F.col("clean").isin(*BOOLEAN_WORDS)).alias("not_word"),
-        F.count_if(~blank & ~F.col("clean").isin(*BOOLEAN_DIGITS)).alias("not_digit"),
+        F.count_if(~blank & (F.col("open") | ~F.col("clean").isin(*BOOLEAN_WORDS))).alias("not_word"),
+        F.count_if(~blank & (F.col("open") | ~F.col("clean").isin(*BOOLEAN_DIGITS))).alias("not_digit"),
+        F.count_if(F.col("cut")).alias("cut_count"),
+        F.count_if(F.col("unsure")).alias("unsure_count"),
         F.min(x).alias("minimum"),
         F.max(x).alias("maximum"),
         safe_sum(x, n).alias("total"),
@@ -109,7 +111,7 @@ class Profile:
         self.config = config
         self.frozen_types = frozen_types
         self.paths: list[str] = []
-        self.freq = written(parsed_frequencies(spread(ds)), self.paths)
+        self._counted = written(parsed_frequencies(spread(ds)), self.paths)
 
     def _planned_counts(self) -> DataFrame:
         """One row per column, also for a table without rows."""
@@ -119,9 +121,9 @@ class Profile:
         )
         counters = [
             "rows", "missing_count", "unique_count", "numeric_valid", "datetime_valid",
-            "not_word", "not_digit",
+            "not_word", "not_digit", "cut_count", "unsure_count",
         ]
-        counted = entries.join(F.broadcast(column_counts(self.freq)), "position", "left")
+        counted = entries.join(F.broadcast(column_counts(self._counted)), "position", "left")
         counted = counted.fillna(0, counters)
         if self.frozen_types is None:
             kind = detected_type(ds, self.config)
@@ -136,9 +138,24 @@ class Profile:
         """The counts of at most 200 columns, in column order."""
         planned = self._planned_counts()
         rows = sorted(planned.collect(), key=lambda row: row["position"])
+        if any(row["unsure_count"] for row in rows):
+            self._counted = written(settled(self.ds, self._counted), self.paths)
+            planned = self._planned_counts()
+            rows = sorted(planned.collect(), key=lambda row: row["position"])
         self._schema = planned.schema
         return rows
 
+    @property
+    def freq(self) -> DataFrame:
+        """The entries of all columns, once every long text is settled."""
+        return self.all_counts.where(F.col("position") != COMPLETE)
+
+    @property
+    def all_counts(self) -> DataFrame:
+        """``freq`` with the entry of complete rows."""
+        self.facts
+        return self._counted
+
     @cached_property
     def counts(self) -> DataFrame:
         """``facts`` as a table, to join without computing them again."""
@@ -162,6 +179,21 @@ class Profile:
         types = {field.name: field.dataType for field in frame.schema.fields if field.name != ROW}
         return Dataset(frame, tuple(types), types)
 
+    def _long_texts_of(self, facts: list[Row]) -> Dataset | None:
+        """The dataset to fetch long texts from, None where the columns have none."""
+        return self.ds if any(f["cut_count"] for f in facts) else None
+
+    def values_of(self, facts: list[Row]) -> DataFrame:
+        """The frequencies of some columns, each value whole."""
+        chosen = self.freq.where(F.col("position").isin([f["position"] for f in facts]))
+        source = self._long_texts_of(facts)
+        return chosen if source is None else whole_texts(source, chosen)
+
+    def top_values(self, facts: list[Row], limit: int = 10) -> DataFrame:
+        """The most frequent values of some columns."""
+        chosen = self.freq.where(F.col("position").isin([f["position"] for f in facts]))
+        return top_values(chosen, limit, self._long_texts_of(facts))
+
     @cached_property
     def by_name(self) -> dict[str, Row]:
         return {fact["name"]: fact for fact in self.facts}
@@ -192,7 +224,7 @@ def type_table(profile: Profile) -> DataFrame:
 def column_metadata(profile: Profile) -> DataFrame:
     """Type, missing count and share, distinct count and first values per column."""
     samples = gathered(
-        first_values(profile.freq, profile.config.sample_size), ["value"], "sample_values"
+        first_values(profile.freq, profile.config.sample_size, profile._long_texts_of(profile.facts)), ["value"], "sample_values"
     )
     joined = profile.counts.join(F.broadcast(samples), "position", "left")
     return joined.select(
@@ -208,5 +240,5 @@ def column_metadata(profile: Profile) -> DataFrame:
 
 def sample_values(ds: Dataset, limit: int) -> DataFrame:
     """First distinct values per column in long form."""
-    best = first_values(value_frequencies(ds), limit)
+    best = first_values(keyed_frequencies(ds), limit, ds)
     return best.select(column_names(ds).alias("name"), "rank", "value")

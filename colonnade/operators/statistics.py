@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import finite_or_null, percentage
 from colonnade.functions.instants import iso_text
-from colonnade.operators.frequencies import TOP_TYPE, gathered, top_values
+from colonnade.operators.frequencies import COMPLETE, TOP_TYPE, gathered
 from colonnade.operators.ranks import values_at_ranks
 from colonnade.operators.schema import DOWN, SMALL, Profile
 from colonnade.small import small_table
@@ -127,8 +127,7 @@ def datetime_statistics(profile: Profile) -> DataFrame:
 def categorical_statistics(profile: Profile) -> DataFrame:
     """Most frequent values of categorical, boolean and text columns."""
     facts = profile.of_type("categorical", "boolean", "text")
-    chosen = profile.freq.where(F.col("position").isin([f["position"] for f in facts]))
-    top = gathered(top_values(chosen), ["value", "n"], "top_categories")
+    top = gathered(profile.top_values(facts), ["value", "n"], "top_categories")
     base = profile.counts.where(F.col("detected_type").isin("categorical", "boolean", "text"))
     best = F.get("top_categories", F.lit(0))
     return base.join(F.broadcast(top), "position", "left").select(
@@ -155,12 +154,9 @@ def column_statistics(profile: Profile) -> DataFrame:
 
 
 def complete_rows(profile: Profile) -> DataFrame:
-    """Rows without a missing cell: one narrow scan."""
-    ds = profile.ds
-    whole = F.lit(True)
-    for name in ds.columns:
-        whole = whole & ds.present(name)
-    return ds.frame.agg(F.count_if(whole).alias("complete_rows"))
+    """Rows without a missing cell, counted along with the frequencies."""
+    entry = profile.all_counts.where((F.col("position") == COMPLETE) & (F.col("x") == 1))
+    return entry.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("complete_rows"))
 
 
 def dataset_summary(profile: Profile) -> DataFrame:

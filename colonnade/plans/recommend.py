@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from colonnade import config as C
 from colonnade.functions.names import aggregation_hint, suggests_additive, suggests_identifier
-from colonnade.operators.frequencies import top_values
 from colonnade.operators.pairs import Operand, pair_facts
 from colonnade.operators.schema import Profile
 from colonnade.plans.records import RECOMMENDATION_SCHEMA, Recommendation, recommendation_rows
@@ -100,8 +99,7 @@ def category_labels(profile: Profile, facts: list) -> dict[str, tuple[str, ...]]
     """All values of columns that have at most 30 of them."""
     if not facts:
         return {}
-    chosen = profile.freq.where(F.col("position").isin([f["position"] for f in facts]))
-    rows = top_values(chosen, C.MAX_CHART_CATEGORIES).collect()
+    rows = profile.top_values(facts, C.MAX_CHART_CATEGORIES).collect()
     return {
         f["name"]: tuple(r["value"] for r in rows if r["position"] == f["position"]) for f in facts
     }

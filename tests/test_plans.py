@@ -91,3 +91,17 @@ def test_places_taken_in_a_block_are_noted(spark):
     assert len(outer) == 2 and own == outer[:1] and inner == outer[1:]
     removed(spark, outer)
     assert outer == []
+
+
+def test_typed_tables_are_scanned_and_shuffled_once(spark):
+    ds = Dataset.from_table(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"))
+    text = plan(frequencies.parsed_frequencies(ds))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "partial_count" in text
+
+
+def test_long_texts_are_no_shuffle_keys(spark):
+    ds = Dataset.from_table(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id")
+    text = plan(frequencies.parsed_frequencies(ds))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    keys = text.split("hashpartitioning(")[1].split(")")[0]
+    assert "s#" in keys and "h#" in keys and "text#" not in keys
