@@ -228,6 +228,19 @@ def test_probabilities_equal_the_definition():
         assert models.entropies([text], alphabet)[0, 0] == pytest.approx(-sum(logs) / len(logs))
 
 
+@pytest.mark.parametrize("part", [1, 3, 7])
+def test_parts_of_texts_count_like_whole_ones(part, monkeypatch):
+    alphabet = language_id.Alphabet()
+    sequence, places, _ = alphabet.sequences(["the then there", "this other"])
+    rows = np.stack([sequence[places - b] for b in range(language_id.ORDER - 1, -1, -1)], axis=1)
+    models = language_id.fitted({"en": np.unique(rows, axis=0, return_counts=True)})
+    texts = ["the  !!  then", "  x", None, "12 . 5", "other things\n\nhere  ", "", "a"]
+    whole = models.entropies(texts, alphabet)
+    monkeypatch.setattr(language_id, "PART", part)
+    assert np.allclose(models.entropies(texts, alphabet), whole, equal_nan=True)
+    assert np.isnan(whole[:, 0]).tolist() == [False, False, True, True, False, True, False]
+
+
 def test_models_of_languages_sum_to_one():
     alphabet = language_id.Alphabet()
     given = {}
