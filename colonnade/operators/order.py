@@ -11,10 +11,14 @@ from colonnade.scratch import written
 RANGE = "_range"
 
 
-def ranged(frame: DataFrame, order: list[Column], paths: list[str] | None = None) -> tuple[DataFrame, dict[int, int]]:
+def ranged(
+    frame: DataFrame, order: list[Column], paths: list[str] | None = None, apart: bool = False
+) -> tuple[DataFrame, dict[int, int]]:
     """The rows in written ranges of the order (``_range``), so that the ranges stay the
-    same, and the rows of each; one count per range comes to the driver."""
-    ranges = written(frame.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id()), paths)
+    same, and the rows of each; one count per range comes to the driver. ``apart``: each
+    range has files of its own, so that a few are read without the others."""
+    marked = frame.repartitionByRange(*order).withColumn(RANGE, F.spark_partition_id())
+    ranges = written(marked, paths, RANGE if apart else None)
     return ranges, dict(ranges.groupBy(RANGE).count().collect())
 
 

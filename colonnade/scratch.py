@@ -55,14 +55,15 @@ def new_path(spark: SparkSession, paths: list[str] | None = None) -> str:
     return path
 
 
-def written(frame: DataFrame, paths: list[str] | None = None) -> DataFrame:
+def written(frame: DataFrame, paths: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Write once, read many times: cuts lineage and survives lost executors. The path is
     added to ``paths``, for ``removed`` to delete when the table is no longer needed. A
-    table that reads back short (a folder that is not shared) is an error."""
+    table that reads back short (a folder that is not shared) is an error. ``by``: the last
+    column, of which every value gets files of its own."""
     spark = frame.sparkSession
     path = new_path(spark, paths)
     seen = Observation()
-    frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    frame.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path, partitionBy=by)
     table = spark.read.schema(frame.schema).parquet(path)
     wanted, found = seen.get.get("rows", 0), table.count()
     if found != wanted:

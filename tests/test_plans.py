@@ -105,3 +105,37 @@ def test_long_texts_are_no_shuffle_keys(spark):
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1
     keys = text.split("hashpartitioning(")[1].split(")")[0]
     assert "s#" in keys and "h#" in keys and "text#" not in keys
+
+
+@pytest.mark.parametrize("sort_by,descending", [("o_totalprice", True), ("o_orderpriority", False), (None, False)])
+def test_pages_of_an_index_write_nothing_and_read_their_blocks(spark, sort_by, descending):
+    from pathlib import Path
+
+    from colonnade.operators import browse
+
+    ds = Dataset.from_table(spark.read.parquet(ORDERS), "o_orderkey")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else one block holds this table
+    try:
+        index = browse.page_index(ds, sort_by, descending)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert index.rows == ds.frame.count() and len(index.counts) > 2
+    order = browse.natural_order(ds, sort_by, descending) if sort_by else ["_row"]
+    wanted = [r["_row"] for r in ds.frame.orderBy(*order).select("_row").collect()]
+    before = sorted(str(p) for p in Path(shared_folder(spark)).rglob("*"))
+    last = -(-len(wanted) // 25) - 1
+    for number in (0, last // 2, last, last + 9):
+        page = index.page(number, 25)
+        own = min(number, last)
+        assert [r["_row"] for r in page.collect()] == wanted[own * 25 : own * 25 + 25]
+        assert "PartitionFilters: [" in plan(page) and "_range" in plan(page).split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(str(p) for p in Path(shared_folder(spark)).rglob("*")) == before
+    index.release()
+    assert index.paths == []
+
+
+def test_an_index_of_an_empty_table_has_an_empty_page(spark):
+    from colonnade.operators import browse
+
+    ds = Dataset.from_table(spark.createDataFrame([], "a string, b long"))
+    assert browse.page_index(ds, "a").page(3).count() == 0
