@@ -3,21 +3,74 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from colonnade.llm import quality_classifier, quality_rules, queries, toxicity
 
 
+def _plain_logit(machine, row):
+    """The definition: bias, weights, and the product of factors for every pair."""
+    known = [int(np.flatnonzero(machine.buckets == b)[0]) for b in row if b in machine.buckets]
+    pairs = sum(machine.factors[i] @ machine.factors[j] for n, i in enumerate(known) for j in known[:n])
+    return machine.bias + machine.linear[known].sum() + pairs
+
+
+def test_machine_scores_pairs_and_passes_over_unknown_buckets():
+    chosen = np.random.default_rng(5)
+    buckets = np.sort(chosen.choice(500, 40, replace=False))
+    machine = toxicity.FactorizationMachine(buckets, 0.3, chosen.normal(size=40), chosen.normal(size=(40, 8)))
+    rows = [np.flatnonzero(chosen.random(500) < share) for share in (0.1, 0.0, 0.4, 0.02, 1.0)] + [np.array([], int)]
+    found = machine.logits(np.concatenate(rows), np.array([len(r) for r in rows]))
+    assert np.allclose(found, [_plain_logit(machine, r) for r in rows])
+    nothing = toxicity.FactorizationMachine(buckets[:0], -1.0, np.zeros(0), np.zeros((0, 8)))
+    assert list(nothing.logits(buckets, np.array([40, 0]))) == [-1.0, -1.0]
+
+
 def test_machine_learns_a_pair_that_no_weight_can():
     """Labels are one where exactly one of two terms is there: no linear score does it."""
     chosen = np.random.default_rng(0)
     met = chosen.random((4000, 12)) < 0.5
     target = (met[:, 0] ^ met[:, 1]).astype(float)
-    machine = toxicity.fit_machine(np.arange(12), [np.flatnonzero(r) for r in met], target)
-    found = machine.logits(met.astype(float)) > 0
-    assert (found == target).mean() > 0.97
-    ones = [machine.one(np.flatnonzero(r)) for r in met[:50]]
-    assert np.allclose(ones, 1 / (1 + np.exp(-machine.logits(met[:50].astype(float)))))
+    entries, sizes = np.nonzero(met)[1], met.sum(axis=1)
+    machine = toxicity.fit_sparse(entries, sizes, target)
+    assert ((machine.logits(entries, sizes) > 0) == target).mean() > 0.97
+
+
+def test_machine_without_both_classes_or_rows_gives_the_share():
+    for target in (np.zeros(20), np.ones(20), np.array([])):
+        rows = len(target)
+        machine = toxicity.fit_sparse(np.arange(rows), np.ones(rows, int), target)
+        found = machine.logits(np.array([3, 900]), np.array([1, 1, 0]))
+        assert np.allclose(1 / (1 + np.exp(-found)), (target.sum() + 1) / (rows + 2))
+
+
+@pytest.mark.parametrize("kind", ["one of two", "both", "any of forty"])
+def test_toxicity_of_words_that_are_harmless_alone(spark, documents, labels, folder, kind):
+    """Among 4,000 words, more terms than any selection by single words would leave."""
+    chosen = random.Random(kind)
+    words = ["".join(chosen.choices("abcdefghijklmnoprstuvw", k=chosen.randint(3, 9))) for _ in range(4000)]
+    groups = ["folk" + "".join(chosen.choices("abcdefgh", k=5)) for _ in range(40)]
+    texts, marks = [], []
+    for i in range(3000):
+        insult, group = chosen.random() < 0.5, chosen.random() < 0.5
+        line = chosen.choices(words, k=30) + ["vermin"] * insult
+        line += [chosen.choice(groups) if kind == "any of forty" else "islanders"] * group
+        chosen.shuffle(line)
+        texts.append(" ".join(line))
+        marks.append((i, 1, int(insult != group if kind == "one of two" else insult and group)))
+    place = folder(documents=documents(texts), labels=labels(marks))
+    made = queries.op1_toxicity(spark, place).join(labels(marks), "doc_id").where("held_out").collect()
+    assert len(made) > 450
+    assert np.mean([r["predicted"] == r["toxic"] for r in made]) > 0.95
+
+
+def test_toxicity_with_clashing_names(spark, documents, labels):
+    docs = documents(["a b", None, "", "c d"] * 5).selectExpr("*", "1 AS `a.b`", "2 AS Score", "3 AS __text", "4 AS buckets")
+    marks = labels([(i, 1, i % 2) for i in range(20)])
+    made = toxicity.with_toxicity(docs, toxicity.train(docs, marks))
+    assert made.columns == [c for c in docs.columns if c != "Score"] + ["score"]
+    assert all(r["a.b"] == 1 and r["__text"] == 3 and r["buckets"] == 4 and 0 <= r["score"] <= 1 for r in made.collect())
 
 
 def test_toxicity_of_an_insult_beside_a_group(spark, documents, labels, folder, sentences):
