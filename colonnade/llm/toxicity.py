@@ -98,7 +98,8 @@ class _Rows:
     """Sparse rows of 0 and 1, entries also in the order of their buckets."""
 
     def __init__(self, at: np.ndarray, sizes: np.ndarray):
-        self.local, self.at = np.unique(at, return_inverse=True)
+        self.local, at = np.unique(at, return_inverse=True)
+        self.at = at.astype(np.int32)
         self.ends = np.concatenate([[0], np.cumsum(sizes)])
         self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         order = np.argsort(self.at, kind="stable")
@@ -169,6 +170,7 @@ def fit_sparse(entries: np.ndarray, sizes: np.ndarray, target: np.ndarray, seed:
     one row after another; ``sizes``: how many each row has."""
     random = np.random.default_rng(seed)
     buckets, at = np.unique(entries, return_inverse=True)
+    at = at.astype(np.int32)
     ones = float(target.sum())
     bias = float(np.log((ones + 1) / (len(target) - ones + 1)))
     if ones in (0, len(target)) or not len(entries):
@@ -180,7 +182,8 @@ def fit_sparse(entries: np.ndarray, sizes: np.ndarray, target: np.ndarray, seed:
     kept = np.flatnonzero(rate > LEAST_RATE)
     if not len(kept):
         return FactorizationMachine(buckets[:0], bias, np.zeros(0), np.zeros((0, FACTORS)))
-    place = np.full(len(buckets), -1)
+    del batches
+    place = np.full(len(buckets), -1, np.int32)
     place[kept] = np.arange(len(kept))
     row, at = np.repeat(np.arange(len(sizes)), sizes), place[at]
     sizes = np.bincount(row[at >= 0], minlength=len(sizes))
