@@ -1,19 +1,21 @@
 """Licence notices: fixed phrases, and text blocks that hold a known notice.
 
-A block is a line with the words that follow it, as many as the longest notice has less one,
-so a notice wrapped over lines lies whole in the block of its first line. A notice is found
-where a block holds at least ``CONTAINMENT`` of its distinct words. The join of blocks and notices is exact. All words of the notices are put in
-one order, the rarest in the corpus first. Of a notice with n words of which m must be met,
-one of its first n - m + 1 must stand in the block, so only these are looked up. A block
-with fewer than m of the notices' words is no match (length), nor is one where the words
-after the first shared one cannot make up m (position). What is left is counted.
+A notice is found where a text block, any run of consecutive words that is ``SLACK`` words
+longer than the notice, holds at least ``CONTAINMENT`` of its distinct words. Line ends do not
+matter, and words scattered over a long line are no notice. Texts are cut into overlapping
+windows of words, so that each block lies whole in one of them, and the join of windows and
+notices is exact. All words of the notices are put in one order, the rarest in the corpus
+first. Of a notice with n words of which m must be met, one of its first n - m + 1 must stand
+in the window, so only these are looked up. A window with fewer than m of the notices' words
+is no match (length), nor is one where the words after the first shared one cannot make up m
+(position). Of what is left the blocks are counted by the places of the notice's words.
 
 Everything runs on Spark's own functions. Results hang on the text alone, so blocks carry a
 digest of it; exact copies share their work, and copies without a notice carry nothing.
 
 Rules: a null text counts as empty (no words, no labels, score 0); repeated rows get equal
 results; only A-Z are lower-cased; words end at ASCII characters that are neither letter nor
-digit. Columns named like the results are replaced.
+digit. Columns named like the results, in whatever case, are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +25,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colonnade.llm.batches import quoted
 from colonnade.scratch import written
 
 CONTAINMENT = 0.9
+#: Words a block may hold beyond the notice's own.
+SLACK = 4
+#: Words from the start of one window to the next.
+STEP = 64
 # Phrases with their labels.
 PHRASES = {
     "cc by": "cc-by",
@@ -94,28 +101,40 @@ def _literal(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def notice_blocks(texts: DataFrame) -> DataFrame:
-    """(digest, tokens) of each block: the notices' words that it holds. ``texts``: digest,
-    text. Blocks with too few of them for any notice are left out."""
+def span(notice: str) -> int:
+    """Words in a text block of a notice."""
+    return len(notice.split(" ")) + SLACK
+
+
+def notice_windows(texts: DataFrame) -> DataFrame:
+    """(digest, hits, tokens) of each window: the notices' words in it with their places, and
+    the distinct ones. ``texts``: digest, text. Windows with too few of them for any notice
+    are left out."""
     vocabulary = sorted({w for notice in NOTICES for w in notice.split(" ")})
     least = min(needed(len(set(n.split(" ")))) for n in NOTICES)
-    after = max(len(n.split(" ")) for n in NOTICES) - 1
-    block = rf"(?<![^\n])(?=([^\n]*+(?:{_OUT}*+{_IN}++){{0,{after}}}+))"
-    blocks = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(block), F.lit(1))
-    lines = texts.select("digest", F.explode(blocks).alias("line"))
-    tokens = F.array_intersect(_literal(vocabulary), F.split("line", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    return lines.select("digest", tokens.alias("tokens")).where(F.size("tokens") >= least)
+    length = STEP + max(map(span, NOTICES)) - 1
+    word = rf"(?:{_IN}++{_OUT}*+)"
+    window = rf"(?=({word}{{1,{length}}}+)){word}{{1,{STEP}}}+"
+    found = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(window), F.lit(1))
+    windows = texts.select("digest", F.explode(found).alias("window"))
+    placed = F.transform(
+        F.split("window", f"{_OUT}+"), lambda w, at: F.struct(w.alias("word"), at.cast("short").alias("at"))
+    )
+    hits = windows.select("digest", F.filter(placed, lambda h: h["word"].isin(vocabulary)).alias("hits"))
+    tokens = F.array_distinct("hits.word").alias("tokens")
+    return hits.where(F.size("hits") >= least).select("digest", "hits", tokens).where(F.size("tokens") >= least)
 
 
 def needed(words: int) -> int:
     return math.ceil(CONTAINMENT * words - 1e-9)
 
 
-def contained_notices(blocks: DataFrame) -> DataFrame:
-    """(digest, label, containment) of every block and notice that reach the threshold.
-    ``blocks`` is read twice: for the words' frequencies and for the join."""
-    spark = blocks.sparkSession
-    counts = blocks.select(F.explode("tokens").alias("token")).groupBy("token").count()
+def contained_notices(windows: DataFrame) -> DataFrame:
+    """(digest, label, containment) of every window and notice where a block reaches the
+    threshold, with the best block's. ``windows`` is read twice: for the words' frequencies
+    and for the join."""
+    spark = windows.sparkSession
+    counts = windows.select(F.explode("tokens").alias("token")).groupBy("token").count()
     seen = {r["token"]: r["count"] for r in counts.collect()}  # at most the notices' words
     vocabulary = {w for notice in NOTICES for w in notice.split(" ")}
     order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
@@ -129,42 +148,52 @@ def contained_notices(blocks: DataFrame) -> DataFrame:
             index.append(
                 F.struct(
                     F.lit(word).alias("token"), F.lit(label).alias("label"), _literal(words).alias("words"),
-                    F.lit(place).alias("place"), F.lit(m).alias("m"),
+                    F.lit(place).alias("place"), F.lit(m).alias("m"), F.lit(span(notice)).alias("span"),
                 )
             )
     index = spark.range(1).select(F.inline(F.array(*index)))
-    ordered = blocks.select("digest", F.array_intersect(_literal(order), F.col("tokens")).alias("tokens"))
+    ordered = windows.select("digest", "hits", F.array_intersect(_literal(order), F.col("tokens")).alias("tokens"))
     probes = ordered.where(F.arrays_overlap("tokens", _literal(sorted(prefixes)))).select(
-        "digest", "tokens", F.posexplode("tokens").alias("at", "token")
+        "digest", "hits", "tokens", F.posexplode("tokens").alias("at", "token")
     )
     pairs = probes.where(F.col("token").isin(sorted(prefixes))).join(F.broadcast(index), "token")
     reach = 1 + F.least(F.size("words") - F.col("place") - 1, F.size("tokens") - F.col("at") - 1)
     pairs = pairs.where((F.size("tokens") >= F.col("m")) & (reach >= F.col("m")))
-    shared = F.size(F.array_intersect("tokens", "words"))
-    return pairs.where(shared >= F.col("m")).select("digest", "label", (shared / F.size("words")).alias("containment"))
+    pairs = pairs.where(F.size(F.array_intersect("tokens", "words")) >= F.col("m"))
+    own = pairs.withColumn("own", F.filter("hits", lambda h: F.array_contains("words", h["word"])))
+
+    def met(first: Column) -> Column:
+        """Distinct words of the notice in the block that begins with one of them."""
+        inside = F.filter("own", lambda h: h["at"].between(first["at"], first["at"] + F.col("span") - 1))
+        return F.size(F.array_distinct(F.transform(inside, lambda h: h["word"])))
+
+    best = own.select("digest", "label", "m", "words", F.array_max(F.transform("own", met)).alias("shared"))
+    containment = (F.col("shared") / F.size("words")).alias("containment")
+    return best.where(F.col("shared") >= F.col("m")).select("digest", "label", containment)
 
 
 def license_scan(frame: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The frame with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` and ``score``, the greatest containment found (1 for a phrase, 0 for none)."""
     made = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    kept = [c for c in (frame.columns if keep is None else keep) if c not in made]
-    texts = frame.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    digest = F.unhex(F.md5(F.col("__text").cast("binary")))
-    blocks = written(notice_blocks(texts.select(digest.alias("digest"), F.col("__text").alias("text"))))
+    kept = [c for c in (frame.columns if keep is None else keep) if c.lower() not in made]
+    given = [frame[quoted(c)].alias(f"c{i}") for i, c in enumerate(kept)]
+    texts = frame.select(*given, F.coalesce(frame[quoted(text)], F.lit("")).alias("text"))
+    digest = F.unhex(F.md5(F.col("text").cast("binary")))
+    windows = written(notice_windows(texts.select(digest.alias("digest"), "text")))
     found = written(
-        contained_notices(blocks).groupBy("digest").agg(
-            F.collect_set("label").alias("__found"), F.max("containment").alias("__containment")
+        contained_notices(windows).groupBy("digest").agg(
+            F.collect_set("label").alias("found"), F.max("containment").alias("containment")
         )
     )  # at most as many labels as there are
-    phrases = phrase_columns(F.col("__text"))
-    based = texts.select(*kept, digest.alias("__digest"), *(c.alias(f"__{n}") for n, c in phrases.items()))
-    both = based.join(found, based["__digest"] == found["digest"], "left").drop(found["digest"])
-    labels = F.array_distinct(F.concat("__base_list", F.coalesce("__found", F.array().cast("array<string>"))))
+    own = [f"c{i}" for i in range(len(kept))]
+    phrases = [c.alias(n) for n, c in phrase_columns(F.col("text")).items()]
+    both = texts.select(*own, digest.alias("digest"), *phrases).join(found, "digest", "left")
+    labels = F.array_distinct(F.concat("base_list", F.coalesce("found", F.array().cast("array<string>"))))
     return both.select(
-        *kept,
-        *(F.col(f"__{n}").alias(n) for n in made[:4]),
-        F.array_join("__base_list", ",").alias("base_labels"),
+        *own,
+        *made[:4],
+        F.array_join("base_list", ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.when(F.col("__n_base") > 0, 1.0).otherwise(F.coalesce("__containment", F.lit(0.0))).alias("score"),
-    )
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))).alias("score"),
+    ).toDF(*kept, *made)

@@ -4,7 +4,7 @@ versions in Python."""
 
 from __future__ import annotations
 
-from colonnade.llm.licenses import CONTAINMENT, NOTICES, PHRASES
+from colonnade.llm.licenses import CONTAINMENT, NOTICES, PHRASES, span
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,7 +41,10 @@ _BY_PHRASE = ", ".join(
 _PHRASE_LABELS = ", ".join(
     f"CASE WHEN len(at_{k}) > 0 THEN '{label}' END" for k, label in enumerate(PHRASES.values())
 )
-_NOTICES = ", ".join(f"('{label}', list_distinct(string_split('{notice}', ' ')))" for notice, label in NOTICES.items())
+_NOTICES = ", ".join(
+    f"({k}, '{label}', {span(notice)}, list_distinct(string_split('{notice}', ' ')))"
+    for k, (notice, label) in enumerate(NOTICES.items())
+)
 
 OP8 = f"""
 WITH texts AS (
@@ -53,13 +56,15 @@ WITH texts AS (
   SELECT row_id, n_words, list_concat({", ".join(f"at_{k}" for k in range(len(PHRASES)))}) AS starts,
     list_filter([{_PHRASE_LABELS}], lambda x: x IS NOT NULL) AS base_list
   FROM phrases
-), lines AS (
-  SELECT row_id, list_distinct({_words('line')}) AS words
-  FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM texts)
-), notices (label, words) AS (VALUES {_NOTICES}),
-shared AS (
-  SELECT row_id, label, len(list_intersect(n.words, l.words)) AS met, len(n.words) AS wanted
-  FROM lines l CROSS JOIN notices n
+), notices (notice, label, span, words) AS (VALUES {_NOTICES}),
+placed AS (
+  SELECT row_id, unnest(range(len(words))) AS at, unnest(words) AS word
+  FROM (SELECT row_id, {_words('text')} AS words FROM texts)
+), shared AS (
+  SELECT row_id, label, wanted, count(DISTINCT word) OVER (
+      PARTITION BY row_id, notice ORDER BY at RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING
+    ) AS met
+  FROM placed JOIN (SELECT notice, label, span, len(words) AS wanted, unnest(words) AS word FROM notices) USING (word)
 ), found AS (
   SELECT row_id, list(DISTINCT label) AS labels, max(met / wanted) AS containment
   FROM shared WHERE met >= ceil({CONTAINMENT} * wanted - 1e-9) GROUP BY row_id

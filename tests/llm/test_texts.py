@@ -242,10 +242,10 @@ def _plain_scan(text):
         if words[i : i + len(phrase.split())] == phrase.split()
     ]
     labels, score = {label for _, label in places}, 1.0 if places else 0.0
-    for line in lowered.split("\n"):
-        own = set(cut.findall(line))
-        for notice, label in licenses.NOTICES.items():
-            wanted = set(notice.split())
+    for notice, label in licenses.NOTICES.items():
+        wanted, length = set(notice.split()), len(notice.split()) + 4
+        for i in range(len(words)):
+            own = set(words[i : i + length])
             if len(own & wanted) >= licenses.needed(len(wanted)):
                 labels.add(label)
                 score = max(score, len(own & wanted) / len(wanted))
@@ -267,6 +267,10 @@ def test_notices_equal_a_plain_scan(spark, documents, folder):
         texts.append("pre\n" + " ".join(own))
         texts.append(" ".join(own[2:]))
     texts += [" ".join(chosen.choices(words, k=chosen.randint(1, 60))) for _ in range(300)]
+    for n in range(40, 150, 3):  # notices at all places of the windows, also over two of them
+        own = chosen.choice(list(licenses.NOTICES)).split()
+        own[len(own) // 2 : len(own) // 2] = chosen.choices(words, k=n % 6)
+        texts.append(".\n ".join(["the"] * n + own + ["of"] * n))
     made = queries.op8_licenses(spark, folder(documents=documents(texts))).collect()
     columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")
     for row in made:
@@ -287,6 +291,23 @@ def test_wrapped_notices(documents):
     assert [made[i]["score"] for i in range(4)] == [1.0, 1.0, 1.0, 0.0]
 
 
+def test_scattered_words_are_no_notice(documents):
+    filler = ["lorem"] * 200
+    scattered = " ".join(w for word in "the movie was released under the mit license".split() for w in [word, *filler])
+    near = "released under the quite old and so good mit license"
+    made = {r["doc_id"]: r for r in licenses.license_scan(documents([scattered, near, near.replace("quite ", "")])).collect()}
+    assert [(made[i]["labels"], made[i]["score"]) for i in range(3)] == [("", 0.0), ("", 0.0), ("mit", 1.0)]
+
+
+def test_notices_under_odd_column_names(documents):
+    docs = documents(["released under the mit license"])
+    for name in ("a.b", "__digest", "__text", "__found", "c1", "digest"):
+        docs = docs.withColumn(name, F.lit(7))
+    row = licenses.license_scan(docs.withColumn("Score", F.lit(7))).first()
+    assert [row[n] for n in ("a.b", "__digest", "__text", "__found", "c1", "digest")] == [7] * 6
+    assert row["labels"] == "mit" and row["score"] == 1.0 and "Score" not in row.asDict()
+
+
 def test_first_phrase_after_characters_above_the_basic_plane(documents):
     texts = ["\U0001F600\U0001F600 cc by", "a \U00020000 b\n\U0001F600 CC-BY x cc by", "\U0001F600"]
     made = {r["doc_id"]: r for r in licenses.license_scan(documents(texts)).collect()}
