@@ -56,7 +56,7 @@ NOTICES = {
     "subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
 }
 
-_IN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # before lower-casing
+_IN = r"[0-9A-Za-z\x80-\x{10FFFF}]"  # before lower-casing; the complement of _OUT, which Java matches slower as such
 _OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
@@ -113,16 +113,21 @@ def notice_windows(texts: DataFrame) -> DataFrame:
     vocabulary = sorted({w for notice in NOTICES for w in notice.split(" ")})
     least = min(needed(len(set(n.split(" ")))) for n in NOTICES)
     length = STEP + max(map(span, NOTICES)) - 1
-    word = rf"(?:{_IN}++{_OUT}*+)"
-    window = rf"(?=({word}{{1,{length}}}+)){word}{{1,{STEP}}}+"
-    found = F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(window), F.lit(1))
-    windows = texts.select("digest", F.explode(found).alias("window"))
-    placed = F.transform(
-        F.split("window", f"{_OUT}+"), lambda w, at: F.struct(w.alias("word"), at.cast("short").alias("at"))
+    # generators keep what follows from working out their columns once more
+    words = F.explode_outer(F.array(F.split(lower_ascii(F.col("text")), f"{_OUT}+"))).alias("words")
+
+    def hits_from(start: Column) -> Column:
+        every = F.transform(
+            F.slice("words", start, length), lambda w, at: F.struct(w.alias("word"), at.cast("short").alias("at"))
+        )
+        return F.filter(every, lambda h: h["word"].isin(vocabulary))
+
+    starts = F.sequence(F.lit(1), F.size("words"), F.lit(STEP))
+    windows = texts.select("digest", words).select(
+        "digest", F.explode_outer(F.transform(starts, hits_from)).alias("hits")
     )
-    hits = windows.select("digest", F.filter(placed, lambda h: h["word"].isin(vocabulary)).alias("hits"))
-    tokens = F.array_distinct("hits.word").alias("tokens")
-    return hits.where(F.size("hits") >= least).select("digest", "hits", tokens).where(F.size("tokens") >= least)
+    tokens = F.array_distinct("hits.word")
+    return windows.select("digest", "hits", tokens.alias("tokens")).where(F.size("tokens") >= least)
 
 
 def needed(words: int) -> int:

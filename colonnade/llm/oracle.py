@@ -58,11 +58,11 @@ WITH texts AS (
   FROM phrases
 ), notices (notice, label, span, words) AS (VALUES {_NOTICES}),
 placed AS (
-  SELECT row_id, unnest(range(len(words))) AS at, unnest(words) AS word
+  SELECT row_id, unnest(range(len(words))) AS place, unnest(words) AS word
   FROM (SELECT row_id, {_words('text')} AS words FROM texts)
 ), shared AS (
   SELECT row_id, label, wanted, count(DISTINCT word) OVER (
-      PARTITION BY row_id, notice ORDER BY at RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING
+      PARTITION BY row_id, notice ORDER BY place RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING
     ) AS met
   FROM placed JOIN (SELECT notice, label, span, len(words) AS wanted, unnest(words) AS word FROM notices) USING (word)
 ), found AS (
