@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+import random
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +44,9 @@ TABLES = {
 }
 PAGE_SIZE = 12
 VERSION = "version"
+CLAIMS = "_claims"
+#: Times a save looks again whether another one has withdrawn, and the longest wait between.
+CLAIM_TRIES, CLAIM_WAIT_S = 8, 0.4
 # Kinds of charts and of findings.
 CHART_TYPES = ("bar", "donut", "histogram", "line", "scatter")
 SEVERITIES = ("info", "warning")
@@ -120,6 +128,12 @@ class Catalog:
     names the version. Readers see the children of the named versions only: a save is seen
     whole or not at all, also when it replaces an earlier one, and one that was cut short
     can be repeated. What no row names any more is removed by ``vacuum``.
+
+    A project has one dataset, also under concurrent saves: each puts a claim of its dataset
+    into the project's claim folder first and only then looks for others. Of two saves at
+    least the later sees the other's claim, so both can never go on; a save that sees one
+    withdraws, looks again some times and fails. This needs listings that show what was
+    written before, but no exclusive creation.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -150,14 +164,59 @@ class Catalog:
         keys = ["dataset_id"] if table == "datasets" else ["dataset_id", VERSION]
         writer.partitionBy(*keys).parquet(self.path(table))
 
+    def _files(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _claim(self, project_id: str, dataset_id: str) -> str:
+        project, dataset = (hashlib.sha256(i.encode()).hexdigest() for i in (project_id, dataset_id))
+        return f"{self.folder}/{CLAIMS}/{project}/{dataset}"
+
+    def _alone(self, claim: str) -> bool:
+        """Put the claim; whether no other dataset claims the project."""
+        place, files = self._files(claim)
+        files.create(place, True).close()
+        return all(s.getPath().getName() == place.getName() for s in files.listStatus(place.getParent()))
+
+    @contextmanager
+    def _claimed(self, project_id: str, dataset_id: str) -> Iterator[None]:
+        """Hold the project for the dataset; the claim stays once the block is through."""
+        claim = self._claim(project_id, dataset_id)
+        place, files = self._files(claim)
+        held = files.exists(place)  # by an earlier save, which this one replaces
+        try:
+            for attempt in range(CLAIM_TRIES):
+                if self._alone(claim):
+                    break
+                if attempt == CLAIM_TRIES - 1:
+                    raise DatasetError("dataset_exists", "The project already has a dataset.")
+                if not held:
+                    files.delete(place, False)
+                time.sleep(random.uniform(0, CLAIM_WAIT_S))
+            yield
+        except BaseException:
+            if not held:
+                files.delete(place, False)
+            raise
+
     def vacuum(self) -> None:
-        """Remove versions that no dataset row names. Not while a save is running."""
-        named = self._table("datasets").select("dataset_id", VERSION)
+        """Remove versions that no dataset row names, and claims of saves that were cut
+        short. Not while a save is running."""
+        datasets = self._table("datasets")
+        named = datasets.select("dataset_id", VERSION)
         for table in TABLES:
             if table != "datasets":
-                rows = self._table(table).select("dataset_id", VERSION, F.input_file_name().alias("file"))
-                files = rows.join(named, ["dataset_id", VERSION], "left_anti").select("file").distinct()
-                removed(self.spark, [row["file"] for row in files.collect()])
+                rows = self._table(table).select("dataset_id", VERSION)
+                orphans = rows.join(named, ["dataset_id", VERSION], "left_anti").select(VERSION).distinct()
+                for row in orphans.toLocalIterator():  # versions are names of their own
+                    place, files = self._files(f"{self.path(table)}/dataset_id=*/{VERSION}={row[VERSION]}")
+                    removed(self.spark, [f.getPath().toString() for f in files.globStatus(place)])
+        place, files = self._files(f"{self.folder}/{CLAIMS}/*/*")
+        claims = {(s.getPath().getParent().getName(), s.getPath().getName()): s.getPath() for s in files.globStatus(place) or []}
+        owners = datasets.select(F.sha2("project_id", 256).alias("p"), F.sha2("dataset_id", 256).alias("d"))
+        for row in owners.toLocalIterator():
+            claims.pop((row["p"], row["d"]), None)
+        removed(self.spark, [path.toString() for path in claims.values()])
 
     def save(
         self, analysis: Analysis, project_id: str, dataset_id: str, filename: str, file_size: int
@@ -177,9 +236,16 @@ class Catalog:
               len(analysis.dataset.columns), datetime.datetime.now(datetime.UTC))],
             DATASETS,
         )
-        others = self._table("datasets").where(F.col("dataset_id") != dataset_id)
-        if without_dataset(entry, others).isEmpty():
+        with self._claimed(project_id, dataset_id):
+            self._commit(analysis, entry, project_id, dataset_id, version)
+
+    def _commit(
+        self, analysis: Analysis, entry: DataFrame, project_id: str, dataset_id: str, version: Column
+    ) -> None:
+        saved = self._table("datasets")
+        if without_dataset(entry, saved.where(F.col("dataset_id") != dataset_id)).isEmpty():
             raise DatasetError("dataset_exists", "The project already has a dataset.")
+        earlier = [r["project_id"] for r in saved.where(F.col("dataset_id") == dataset_id).collect()]
         columns = column_rows(analysis.metadata, F.lit(dataset_id))
         broken = violations(entry, columns).first()
         if broken is not None:
@@ -189,6 +255,8 @@ class Catalog:
         self._write(analysis.recommendation_table().select(*keys, "*", version), "visualizations")
         self._write(analysis.insight_table().select(*keys, "*", version), "insights")
         self._write(entry.select("*", version), "datasets")
+        # a dataset that moved gives its former project free
+        removed(self.spark, [self._claim(p, dataset_id) for p in earlier if p != project_id])
 
     def load(self, dataset_id: str) -> dict[str, DataFrame]:
         """The four tables of one saved dataset, read without touching its source."""

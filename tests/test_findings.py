@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -188,6 +189,39 @@ def test_replacing_is_seen_whole_or_not_at_all(spark, dashboard, tmp_path, monke
         saved.save(dashboard, "p1", "d1", "old.csv", -1)
 
 
+def test_of_concurrent_saves_one_wins(spark, dashboard, tmp_path):
+    saved = Catalog(spark, str(tmp_path / "catalog"))
+
+    def save(dataset_id):
+        try:
+            saved.save(dashboard, "p1", dataset_id, "sales.csv", 10)
+            return "saved"
+        except DatasetError as error:
+            return error.code
+
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(save, [f"d{i}" for i in range(4)]))
+    assert sorted(results) == ["dataset_exists"] * 3 + ["saved"]
+    assert saved.table("datasets").count() == 1
+
+
+def test_vacuum_clears_odd_names_and_lost_claims(spark, dashboard, tmp_path):
+    saved = Catalog(spark, str(tmp_path / "catalog"))
+    for _ in range(2):
+        saved.save(dashboard, "p 1", "d 1:%/x", "sales.csv", 10)
+    assert saved._table("dataset_columns").count() == 6
+    assert saved._alone(saved._claim("p2", "lost"))  # a save that ended here
+    assert not saved._alone(saved._claim("p2", "d2"))
+    saved.vacuum()
+    assert saved._table("dataset_columns").count() == 3
+    assert saved.load("d 1:%/x")["dataset_columns"].count() == 3
+    saved.save(dashboard, "p2", "d2", "sales.csv", 10)
+    saved.save(dashboard, "p3", "d2", "sales.csv", 10)  # moves, so p2 is free again
+    saved.save(dashboard, "p2", "d3", "sales.csv", 10)
+    with pytest.raises(DatasetError):
+        saved.save(dashboard, "p 1", "d4", "sales.csv", 10)
+
+
 def test_wrong_results_fail_their_check(dashboard):
     from pyspark.sql import functions as F
 
