@@ -416,7 +416,8 @@ ORACLE = {
       FROM (SELECT * FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC, c_custkey LIMIT 12 OFFSET 12)
       LEFT JOIN ({BY_CUSTOMER}) ON c_custkey = o_custkey""",
     "owner_scope": "SELECT o_custkey AS project_id, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_nationkey = 7)",
-    "catalog_new_only": "SELECT c_custkey AS project_id, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "catalog_new_only": """SELECT o_orderkey AS project_id, o_custkey, o_orderpriority FROM orders
+      WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')""",
     "catalog_columns": f"""{SHIP} SELECT 'shipments' AS dataset_id, position, name, detected_type, missing_count > 0 AS nullable,
       missing_count, missing_percentage, unique_count FROM facts""",
     "catalog_checks": """SELECT 'unknown_type' AS rule, l_orderkey AS dataset_id, count(*) AS n FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 2

@@ -444,9 +444,11 @@ def owner_scope(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def catalog_new_only(spark: SparkSession, folder: str) -> DataFrame:
-    projects, _ = _projects(spark, folder)
-    taken = read(spark, folder, "orders").select(F.col("o_custkey").alias("project_id"))
-    return catalog.without_dataset(projects, taken).select("project_id", "c_name")
+    """Orders without a returned line; every customer of the tables has an order."""
+    orders = read(spark, folder, "orders").withColumnRenamed("o_orderkey", "project_id")
+    lines = read(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
+    taken = lines.select(F.col("l_orderkey").alias("project_id"))
+    return catalog.without_dataset(orders, taken).select("project_id", "o_custkey", "o_orderpriority")
 
 
 def catalog_columns(spark: SparkSession, folder: str) -> DataFrame:
