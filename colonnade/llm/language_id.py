@@ -12,41 +12,53 @@ language; a second pair of arrays holds the weights of the contexts. A text is l
 from the longest sequences down, so what is found there is not looked up any further. The
 lowest cross-entropy per character wins.
 
-Confidence and rejection are calibrated on labelled rows that the models have not seen: the
-score is the share of the winner when cross-entropies compete under a fitted sharpness, and
-a text is accepted if its cross-entropy is within what ``USUAL`` of its language's rows have.
-
-Limits: about ``SAMPLE`` different labelled texts per language are learned from, chosen by a
-hash of id and text, and at most ``GRAMS`` sequences per language are kept, the most frequent
-ones (fewer where there are many languages, see ``CELLS``). Whole texts are scored.
+Every labelled text is learned from, and every sequence is kept. Confidence and rejection
+are calibrated on every labelled text as well, by models that have not seen it: the texts fall
+into two halves by a hash, and each half is scored under models of the other. The score is the
+share of the winner when cross-entropies compete under a fitted sharpness, and a text is
+accepted if its cross-entropy is within what ``USUAL`` of its language's rows have.
+
+Models of more than ``LARGEST`` sequences are fitted and met in parts, one at a time: for some
+languages, all places after some characters. A place is looked up in the part of the character
+in front, which holds all sequences and contexts it can need, so the parts' cross-entropies add
+up to those of whole models. Each part costs a pass over the texts; a single character's
+sequences are not divided further.
 
 Rules: null texts and texts without a letter get ``UNKNOWN``, score 0 and are not accepted;
 equal cross-entropies go to the language first in order; without labelled rows every text
-is unknown; repeated rows are scored alike; an empty table gives no rows. Columns of the
+is unknown; repeated rows count as often as they are there and are scored alike; a language
+all of whose texts are in one half accepts every text; an empty table gives no rows. Columns of the
 frame with the name of a result are replaced.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colonnade.llm.batches import pieces, quoted, with_results
+from colonnade.operators.ranks import values_at_ranks
 from colonnade.scratch import written
 from colonnade.small import small_table
 
 ORDER = 5
-SAMPLE, GRAMS, CELLS = 2_000, 200_000, 1 << 26
-#: One labelled row in so many is kept for calibration; the share of them that is accepted.
-HELD_BACK, USUAL = 5, 0.995
+#: Sequences (a row per language) and languages of one part of the models.
+LARGEST, TOGETHER = 2_000_000, 16
+#: Different sequences that a task counts before it passes them on.
+COUNTED = 1 << 19
+#: The share of a language's rows that is accepted; sharpnesses that are tried.
+USUAL, SHARPNESSES = 0.995, 2.0 ** np.arange(-2, 8)
+#: Cross-entropies that one task may sort.
+RANK_BUFFER = 20_000
 UNKNOWN = "und"
 BLANK, SLACK = 32, 0.05
 LETTER = regex.compile(r"\p{L}")
@@ -88,6 +100,29 @@ class Alphabet:
             sequence[first + i] = tails[:, i]
         return sequence, places, starts
 
+    def stretches(self, texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """Sequences of no more than about ``PART`` characters at a time, with the numbers of
+        their texts; longer texts go in several. Texts without a letter are passed over."""
+        waiting: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            if not text or not LETTER.search(text):
+                continue
+            if len(text) > PART:
+                tail = None
+                for start in range(0, len(text), PART):
+                    found = self.sequences([text[start : start + PART]], tail)
+                    tail = found[0][None, -(ORDER - 1) :]
+                    yield [i], *found
+                continue
+            if size + len(text) > PART:
+                yield waiting, *self.sequences([texts[k] for k in waiting])
+                waiting, size = [], 0
+            waiting.append(i)
+            size += len(text)
+        if waiting:
+            yield waiting, *self.sequences([texts[k] for k in waiting])
+
 
 def hashes(columns: list[np.ndarray]) -> np.ndarray:
     """A hash of each row of character columns, as a rolling hash over them would give."""
@@ -113,22 +148,62 @@ def rolling(sequence: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+class Hashes:
+    """Sorted hashes, with the place at which those with equal first bits begin."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.starts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def place(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), np.int32), np.zeros(len(wanted), bool)
+        last = len(self.keys) - 1
+        at = np.minimum(self.starts[wanted >> self.shift], last)
+        met = self.keys[at]
+        left = np.flatnonzero((met < wanted) & (at < last))
+        while len(left):
+            at[left] += 1
+            met[left] = self.keys[at[left]]
+            left = left[(met[left] < wanted[left]) & (at[left] < last)]
+        return at, met == wanted
+
+
 @dataclass
 class Level:
     """One order: sorted hashes with log probabilities, and of contexts with log weights."""
 
-    keys: np.ndarray
+    keys: Hashes
     logs: np.ndarray
-    contexts: np.ndarray
+    contexts: Hashes
     weights: np.ndarray
 
 
-def _place(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each hash is, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+@dataclass
+class Whole:
+    """What a part must know of all parts: by language and order the numbers of sequences
+    counted once and twice, by language the last characters with the number of different
+    ones in front, and the number of last characters of all languages."""
+
+    few: dict[tuple[str, int], tuple[int, int]]
+    singles: dict[str, tuple[np.ndarray, np.ndarray]]
+    characters: int
+
+
+@dataclass
+class Part:
+    """The counts of some languages after some characters. ``others``: after all but these."""
+
+    counts: DataFrame | None
+    languages: list[str]
+    characters: np.ndarray | None = None
+    others: bool = False
+    whole: Whole | None = None
 
 
 @dataclass
@@ -138,67 +213,57 @@ class Models:
     unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))
     sharpness: float = 1.0
     usual: dict[str, float] = field(default_factory=dict)
+    parts: list[Part] = field(default_factory=list)  # instead of levels, where these are too many
+    part: Part | None = None  # the part that this is
 
     def entropies(self, texts: list[str | None], alphabet: Alphabet) -> np.ndarray:
         """Cross-entropy per character of each text under each language, NaN without a
-        letter. No more than about ``PART`` characters are looked up at a time."""
+        letter."""
         sums, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        waiting: list[int] = []
-        size = 0
-        for i, text in enumerate(texts):
-            if not text or not LETTER.search(text):
-                continue
-            if len(text) > PART:
-                tail = np.zeros((1, ORDER - 1), np.uint64)
-                for start in range(0, len(text), PART):
-                    own, count, tail = self._sums([text[start : start + PART]], alphabet, tail)
-                    sums[i] += own[0]
-                    sizes[i] += count[0]
-                continue
-            if size + len(text) > PART:
-                sums[waiting], sizes[waiting], _ = self._sums([texts[k] for k in waiting], alphabet)
-                waiting, size = [], 0
-            waiting.append(i)
-            size += len(text)
-        if waiting:
-            sums[waiting], sizes[waiting], _ = self._sums([texts[k] for k in waiting], alphabet)
+        for numbers, sequence, places, starts in alphabet.stretches(texts):
+            sums[numbers] += self._sums(sequence, places, starts)
+            sizes[numbers] += np.diff(starts)
         sizes[sizes == 0] = np.nan
         return -sums / sizes[:, None]
 
-    def _sums(self, texts: list[str], alphabet: Alphabet, tails: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probabilities summed by text, characters of each, and the tail of the last."""
-        sequence, places, starts = alphabet.sequences(texts, tails)
+    def _sums(self, sequence: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Log probabilities summed by text."""
         logs = np.zeros((len(places), len(self.languages)))
         prefixes = rolling(sequence)
         left = np.arange(len(places))
+        if self.part and self.part.characters is not None:
+            left = np.flatnonzero(np.isin(sequence[places - 1], self.part.characters) != self.part.others)
         for order in range(ORDER, 0, -1):
             level = self.levels[order - 1]
-            at, met = _place(level.keys, prefixes[order][places[left]])
+            at, met = level.keys.place(prefixes[order][places[left]])
             logs[left[met]] += level.logs[at[met]]
             left = left[~met]
-            at, met = _place(level.contexts, prefixes[order - 1][places[left] - 1])
+            at, met = level.contexts.place(prefixes[order - 1][places[left] - 1])
             logs[left[met]] += level.weights[at[met]]
         logs[left] += self.unseen
-        size, sums = np.diff(starts), np.zeros((len(texts), len(self.languages)))
-        full = size > 0
+        full = np.diff(starts) > 0
+        sums = np.zeros((len(full), len(self.languages)))
         if full.any():
             sums[full] = np.add.reduceat(logs, starts[:-1][full], axis=0)
-        return sums, size, sequence[None, -(ORDER - 1) :]
+        return sums
 
     def shares(self, entropies: np.ndarray) -> np.ndarray:
         ahead = np.exp(-self.sharpness * (entropies - entropies.min(axis=1, keepdims=True)))
         return ahead / ahead.sum(axis=1, keepdims=True)
 
 
-def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
-    """Models from each language's sequences (rows of ``ORDER`` characters) and counts."""
+def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]], whole: Whole | None = None) -> Models:
+    """Models from each language's sequences (rows of ``ORDER`` characters) and counts.
+    ``whole``: they are those after some characters only, and what to know of the others."""
     languages = sorted(grams)
     own: list[list[tuple[np.ndarray, np.ndarray]]] = [[grams[name]] for name in languages]
-    for chain in own:
+    for name, chain in zip(languages, own):
         for _ in range(ORDER - 1):  # different characters in front of each shorter sequence
             rows = chain[0][0][:, 1:]
             _, first, count = np.unique(hashes(list(rows.T)), return_index=True, return_counts=True)
             chain.insert(0, (rows[first], count))
+        if whole:
+            chain[0] = whole.singles[name]
     models = Models(languages)
     lower_keys, lower = hashes([]), None
     for order in range(1, ORDER + 1):
@@ -208,14 +273,15 @@ def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
         rows = rows[first]
         contexts, context = np.unique(hashes(list(rows[:, :-1].T)) if order > 1 else np.zeros(len(rows), np.uint64), return_inverse=True)
         if lower is None:
-            spread = np.full((len(rows), len(languages)), 1.0 / (len(rows) + 1))
+            characters = whole.characters if whole else len(rows)
+            spread = np.full((len(rows), len(languages)), 1.0 / (characters + 1))
         else:
             spread = lower[np.searchsorted(lower_keys, hashes(list(rows[:, 1:].T)))]
         probability, weight = np.empty_like(spread), np.ones((len(contexts), len(languages)))
-        for n, (chain, own_hashes) in enumerate(zip(own, hashed)):
+        for n, (name, chain, own_hashes) in enumerate(zip(languages, own, hashed)):
             counts = np.zeros(len(keys))
             counts[np.searchsorted(keys, own_hashes)] = chain[order - 1][1]
-            once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+            once, twice = whole.few[name, order] if whole else (np.count_nonzero(counts == 1), np.count_nonzero(counts == 2))
             discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
             total = np.bincount(context, counts, len(contexts))
             kinds = np.bincount(context, counts > 0, len(contexts))
@@ -224,25 +290,14 @@ def fitted(grams: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
             seen = np.maximum(counts - discount, 0) / np.where(known, total, 1)[context]
             probability[:, n] = seen + weight[context, n] * spread[:, n]
         if order == 1:
-            models.unseen = np.log(np.full(len(languages), 1.0 / (len(rows) + 1)))
+            models.unseen = np.log(np.full(len(languages), 1.0 / (characters + 1)))
             contexts = hashes([])  # the empty context, met everywhere
-        models.levels.append(Level(keys, np.log(probability), contexts, np.log(weight)))
+        logs, weights = np.log(probability).astype(np.float32), np.log(weight).astype(np.float32)
+        models.levels.append(Level(Hashes(keys), logs, Hashes(contexts), weights))
         lower_keys, lower = keys, probability
     return models
 
 
-def _chosen(labelled: DataFrame) -> DataFrame:
-    """(lang, text, held_back) of about ``SAMPLE`` different texts per language."""
-    marked = labelled.withColumn("mark", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40)))
-    sizes = marked.groupBy("lang").agg(F.approx_count_distinct("mark", 0.02).alias("n")).collect()  # a row per language
-    # Held back only where there are rows enough, else all are learned from
-    bounds = [(r["lang"], min(1.0, SAMPLE / max(r["n"], 1)) * (1 << 40), r["n"] >= HELD_BACK**2) for r in sizes]
-    share = small_table(labelled.sparkSession, bounds, "lang string, share double, wide boolean")
-    kept = marked.join(share, "lang").where(F.col("mark") < F.col("share"))
-    one = kept.groupBy("lang", "mark").agg(F.min("text").alias("text"), F.first("wide").alias("wide"))
-    return one.select("lang", "text", (F.col("wide") & (F.pmod(F.xxhash64("mark"), F.lit(HELD_BACK)) == 0)).alias("held_back"))
-
-
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """About ``most`` sequences per language: those counted more often than a least number,
     and of those counted as often as that a share by their hash."""
@@ -258,76 +313,216 @@ def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.join(least, "lang").where(chosen).select("lang", "gram", "n")
 
 
-def sequence_counts(chosen: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all sequences of ``ORDER`` characters; ``gram`` holds code points."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alphabet = Alphabet()
-        for piece in pieces(batches, "text"):
-            names = piece.column(0).to_pylist()
-            texts = np.array(piece.column(1).to_pylist() + [None], object)[:-1]
-            for name in set(names):
-                own = [t for t in texts[[n == name for n in names]] if LETTER.search(t)]
-                sequence, places, _ = alphabet.sequences(own)
-                if not len(places):
+def sequence_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, gram, n0, n1) of all sequences of ``ORDER`` characters in (lang, text, half):
+    how often they are in either half."""
+    counted = labelled.select("lang", "text", "half").mapInArrow(_counted, "lang string, gram string, n0 long, n1 long")
+    return counted.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], room: int = COUNTED) -> Iterator[pa.RecordBatch]:
+    """A task's counts, passed on whenever they are of more than ``room`` sequences."""
+    alphabet = Alphabet()
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+    for piece in pieces(batches, "text"):
+        own: dict[tuple[str, int], list[str]] = {}
+        for name, text, half in zip(*(piece.column(i).to_pylist() for i in range(3))):
+            own.setdefault((name, half), []).append(text)
+        for (name, half), texts in own.items():
+            for _, sequence, places, _ in alphabet.stretches(texts):
+                points = sequence.astype("<u4")
+                rows, count = _summed(np.stack([points[places - back] for back in range(ORDER - 1, -1, -1)], axis=1))
+                if not len(rows):
                     continue
-                rows = np.stack([sequence[places - back] for back in range(ORDER - 1, -1, -1)], axis=1)
-                _, first, count = np.unique(hashes(list(rows.T)), return_index=True, return_counts=True)
-                grams = [r.tobytes() for r in rows[first].astype("<u4")]
-                columns = [pa.array([name] * len(grams)), pa.array(grams, pa.binary()), pa.array(count, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
-
-    counted = chosen.select("lang", "text").mapInArrow(run, "lang string, gram binary, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def train(frame: DataFrame, text: str = "text", label: str = "lang", id_column: str = "doc_id") -> Models:
-    """Models from the rows of ``frame`` with a text and a label."""
-    given = frame.select(
-        frame[quoted(id_column)].alias("id"), frame[quoted(text)].alias("text"), frame[quoted(label)].cast("string").alias("lang")
-    )
-    chosen = written(_chosen(given.where("text IS NOT NULL AND lang IS NOT NULL")))
-    counts = written(sequence_counts(chosen.where("NOT held_back")))
-    languages = counts.select("lang").distinct().count()
-    if not languages:
-        return Models([])
-    most = max(1, min(GRAMS, CELLS // (ORDER * languages**2)))
-    table = _most_frequent(counts, most).toArrow()
-    names = np.array(table["lang"].to_pylist(), object)
-    rows = np.frombuffer(b"".join(table["gram"].to_pylist()), "<u4").reshape(-1, ORDER)
-    number = table["n"].to_numpy()
-    models = fitted({name: (rows[names == name], number[names == name]) for name in set(names.tolist())})
-    return calibrated(models, chosen.where("held_back"))
+                number = np.zeros((len(rows), 2), np.int64)
+                number[:, half] = count
+                found.setdefault(name, []).append((rows, number))
+                size += len(rows)
+                if size > room:
+                    found = _merged(found)
+                    size = sum(len(held[0][0]) for held in found.values())
+                if size > room:
+                    yield from _batches(found)
+                    found, size = {}, 0
+    yield from _batches(_merged(found))
+
+
+def _summed(rows: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows with their summed numbers, or how often they are there."""
+    hashed = hashes(list(rows.T))
+    if number is None:
+        _, first, count = np.unique(hashed, return_index=True, return_counts=True)
+        return rows[first], count
+    order = np.argsort(hashed, kind="stable")
+    starts = np.flatnonzero(np.diff(hashed[order], prepend=~hashed[order[:1]]))
+    return rows[order[starts]], np.add.reduceat(number[order], starts)
+
+
+def _merged(found: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    return {name: [_summed(*map(np.concatenate, zip(*held)))] for name, held in found.items()}
+
+
+def _batches(found: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    for name, held in found.items():
+        for rows, number in held:
+            grams = np.ascontiguousarray(rows).view(f"<U{ORDER}")[:, 0].tolist()
+            columns = [pa.array([name] * len(grams)), pa.array(grams), pa.array(number[:, 0]), pa.array(number[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n0", "n1"])
+
+
+def _points(texts: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The characters of texts of ``width``, a row each."""
+    found = [np.frombuffer("".join(chunk.to_pylist()).encode("utf-32-le"), "<u4") for chunk in texts.chunks]
+    return np.concatenate([np.zeros(0, "<u4"), *found]).reshape(-1, width)
+
+
+def _by_language(table: pa.Table, width: int, languages: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's sequences and counts."""
+    names, number = table["lang"].to_numpy(), table["n"].to_numpy()
+    rows = _points(table["gram"], width)
+    return {name: (rows[names == name], number[names == name]) for name in languages}
+
+
+def _whole(counts: DataFrame) -> Whole:
+    """Sequences of every order from the counts (lang, gram, n) of the longest."""
+    few: dict[tuple[str, int], tuple[int, int]] = {}
+    for order in range(ORDER, 0, -1):
+        if order < ORDER:
+            counts = counts.groupBy("lang", F.substring("gram", 2, ORDER).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        seen = counts.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice"))
+        few |= {(r["lang"], order): (r["once"], r["twice"]) for r in seen.collect()}  # a row per language
+    singles = _by_language(counts.toArrow(), 1, sorted({name for name, _ in few}))  # a row per language and character
+    return Whole(few, singles, len(np.unique(np.concatenate([rows for rows, _ in singles.values()]))))
+
+
+def _loaded(part: Part) -> Models:
+    models = fitted(_by_language(part.counts.toArrow(), ORDER, part.languages), part.whole)
+    models.part = replace(part, counts=None, whole=None)  # without what tasks cannot take
+    return models
 
 
-def calibrated(models: Models, rows: DataFrame) -> Models:
+def _models(counts: DataFrame, number: Column, most: int | None) -> Models:
+    """Models from counts, of which ``number`` is what counts; in parts if they are many."""
+    counts = counts.select("lang", "gram", number.alias("n")).where("n > 0")
+    if most is not None:
+        counts = written(_most_frequent(counts, most))
+    before = F.substring("gram", ORDER - 1, 1)
+    # A row per language and character
+    sizes = [(r["lang"], r["c"], r["n"]) for r in counts.groupBy("lang", before.alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    languages = sorted({name for name, _, _ in sizes})
+    if not languages:
+        return Models([])
+    if sum(n for _, _, n in sizes) <= LARGEST and len(languages) <= TOGETHER:
+        return _loaded(Part(counts, languages))
+    whole, parts = _whole(counts), []
+    for start in range(0, len(languages), TOGETHER):
+        own = languages[start : start + TOGETHER]
+        total: dict[str, int] = {}
+        for name, c, n in sizes:
+            if name in own:
+                total[c] = total.get(c, 0) + n
+        shares: list[list[str]] = []
+        room = 0
+        for c, n in sorted(total.items(), key=lambda item: (-item[1], item[0])):
+            if not shares or n > room:
+                shares.append([])
+                room = LARGEST
+            shares[-1].append(c)
+            room -= n
+        for k, share in enumerate(shares):
+            # The last part, of the rarest characters, has the places after characters of no part
+            last = k == len(shares) - 1
+            marks = [c for other in shares[:-1] for c in other] if last else share
+            held = counts.where(F.col("lang").isin(own))
+            held = held.where(before.isin(marks) != last) if marks else held
+            parts.append(Part(held, own, np.array([ord(c) for c in marks], np.uint64), last, whole))
+    return Models(languages, parts=parts)
+
+
+def train(frame: DataFrame, text: str = "text", label: str = "lang", most: int | None = None) -> Models:
+    """Models from all rows of ``frame`` with a text and a label. ``most``: keep about as many
+    sequences per language, the most frequent ones; all are kept by default."""
+    given = frame.select(frame[quoted(text)].alias("text"), frame[quoted(label)].cast("string").alias("lang"))
+    labelled = given.where("text IS NOT NULL AND lang IS NOT NULL")
+    labelled = labelled.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))  # equal texts go together
+    counts = written(sequence_counts(labelled))
+    models = _models(counts, F.col("n0") + F.col("n1"), most)
+    halves = ((_models(counts, F.col(f"n{1 - half}"), most), labelled.where(F.col("half") == half)) for half in (0, 1))
+    return calibrated(models, halves)
+
+
+def calibrated(models: Models, given: Iterable[tuple[Models, DataFrame]]) -> Models:
     """The sharpness under which the rows' own languages are likeliest, and per language
-    the cross-entropy up to which ``USUAL`` of its rows are."""
-    scored = with_results(rows, "text", [("entropies", T.ArrayType(T.DoubleType()))], _entropies_of(models), keep=["lang"])
-    known = {name: i for i, name in enumerate(models.languages)}
-    found = [(known[r["lang"]], r["entropies"]) for r in scored.where("entropies IS NOT NULL").collect() if r["lang"] in known]
-    if found:
-        own, entropies = np.array([i for i, _ in found]), np.array([e for _, e in found])
-        best = -np.inf
-        for sharpness in 2.0 ** np.arange(-2, 8):
-            models.sharpness, before = float(sharpness), models.sharpness
-            likely = np.log(np.maximum(models.shares(entropies)[np.arange(len(own)), own], 1e-12)).mean()
-            if likely <= best:
-                models.sharpness = before
-                break
-            best = likely
-        for i, name in enumerate(models.languages):
-            if (own == i).any():
-                models.usual[name] = float(np.quantile(entropies[own == i, i], USUAL)) * (1 + SLACK)
+    the cross-entropy up to which ``USUAL`` of its rows are. ``given``: models with rows
+    (lang, text) that these have not seen."""
+    scored = [written(_placed(models, other, rows)) for other, rows in given if other.languages]
+    if not scored:
+        return models
+    entries = reduce(DataFrame.union, scored)
+    likely = entries.agg(*[F.avg(F.col("likely")[i]) for i in range(len(SHARPNESSES))]).first()
+    best = -np.inf
+    for sharpness, found in zip(SHARPNESSES, likely):
+        if found is None or found <= best:
+            break
+        models.sharpness, best = float(sharpness), found
+    sizes = {r["group"]: r["count"] for r in entries.groupBy("group").count().collect()}  # a row per language
+    ranks = {group: (USUAL * (n - 1), int(USUAL * (n - 1)), min(n - 1, int(USUAL * (n - 1)) + 1)) for group, n in sizes.items()}
+    targets = {group: sorted({low, high}) for group, (_, low, high) in ranks.items()}
+    values = values_at_ranks(entries.select("group", "key", F.lit(1).alias("n")), targets, sizes, RANK_BUFFER, unit=True) if sizes else {}
+    for group, (place, low, high) in ranks.items():
+        usual = values[group, low] + (place - low) * (values[group, high] - values[group, low])
+        models.usual[models.languages[group]] = usual * (1 + SLACK)
     return models
 
 
-def _entropies_of(models: Models):
+def _placed(models: Models, other: Models, rows: DataFrame) -> DataFrame:
+    """(group, key, likely) of rows in a language that the other models know: its number, the
+    cross-entropy under it, and the log likelihood of it under every sharpness."""
+    known = [(name, models.languages.index(name), i) for i, name in enumerate(other.languages)]
+    places = small_table(rows.sparkSession, known, "lang string, `group` int, at int")
+    found = _with_entropies(rows, other, "text", ["lang"]).where("entropies IS NOT NULL").join(F.broadcast(places), "lang")
+    found = found.withColumn("key", F.get("entropies", F.col("at"))).withColumn("least", F.array_min("entropies"))
+
+    def likelihood(sharpness: float) -> Column:
+        ahead = F.transform("entropies", lambda e: F.exp((F.col("least") - e) * sharpness))
+        total = F.aggregate(ahead, F.lit(0.0), lambda a, e: a + e)
+        return F.greatest((F.col("least") - F.col("key")) * sharpness - F.log(total), F.lit(float(np.log(1e-12))))
+
+    return found.select("group", "key", F.array(*[likelihood(float(s)) for s in SHARPNESSES]).alias("likely"))
+
+
+def _with_entropies(frame: DataFrame, models: Models, text: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and ``entropies``, the cross-entropy under each language or null."""
+    fields = [("entropies", T.ArrayType(T.DoubleType()))]
+    if not models.parts:
+        return with_results(frame, text, fields, _entropies_of(models), keep)
+    # A part at a time is held by the driver; equal texts have equal results
+    digest = F.sha2(frame[quoted(text)].cast("binary"), 256).alias("digest")
+    texts = frame.where(frame[quoted(text)].isNotNull()).select(digest, frame[quoted(text)].alias("text"))
+    passes = []
+    for number, part in enumerate(models.parts):
+        places = [models.languages.index(name) for name in part.languages]
+        own = with_results(texts, "text", fields, _entropies_of(_loaded(part), places, len(models.languages)), ["digest"])
+        passes.append(written(own.where("entropies IS NOT NULL").select("digest", F.lit(number).alias("part"), "entropies")))
+    once = reduce(DataFrame.union, passes).groupBy("digest", "part").agg(F.first("entropies").alias("entropies"))
+    by_part = F.array_sort(F.collect_list(F.struct("part", "entropies")))
+    zero = F.array_repeat(F.lit(0.0), len(models.languages))
+    total = F.aggregate(by_part, zero, lambda a, p: F.zip_with(a, p["entropies"], lambda x, y: x + y))
+    sums = once.groupBy("digest").agg(total.alias("entropies"))
+    kept = frame.select(*[frame[quoted(c)].alias(f"c{i}") for i, c in enumerate(keep)], digest)
+    return kept.join(sums, "digest", "left").drop("digest").toDF(*keep, "entropies")
+
+
+def _entropies_of(models: Models, places: list[int] | None = None, width: int = 0):
     def make():
         alphabet = Alphabet()
 
         def work(texts):
             found = models.entropies(texts, alphabet)
+            if places is not None:  # among those of all languages
+                own, found = found, np.zeros((len(texts), width))
+                found[:, places] = own
             return ([None if np.isnan(e).any() else e.tolist() for e in found],)
 
         return work
@@ -343,25 +538,30 @@ def with_language(frame: DataFrame, models: Models, text: str = "text", keep: li
     ]
     names = models.languages
     usual = np.array([models.usual.get(name, np.inf) for name in names])
+    shares = replace(models, parts=[]).shares
+
+    def verdicts(found):
+        if not names:
+            return [UNKNOWN] * len(found), [0.0] * len(found), [None] * len(found), [False] * len(found)
+        known = ~np.isnan(found[:, 0])
+        filled = np.where(known[:, None], found, 0.0)
+        best, row = filled.argmin(axis=1), np.arange(len(found))
+        least, share = filled[row, best], shares(filled)[row, best]
+        return (
+            [names[b] if k else UNKNOWN for b, k in zip(best, known)],
+            np.where(known, share, 0.0).tolist(),
+            [e if k else None for e, k in zip(least.tolist(), known)],
+            (known & (least <= usual[best])).tolist(),
+        )
 
     def make():
         alphabet = Alphabet()
-
-        def work(texts):
-            if not names:
-                return [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts), [False] * len(texts)
-            found = models.entropies(texts, alphabet)
-            known = ~np.isnan(found[:, 0])
-            filled = np.where(known[:, None], found, 0.0)
-            best, row = filled.argmin(axis=1), np.arange(len(texts))
-            least, share = filled[row, best], models.shares(filled)[row, best]
-            return (
-                [names[b] if k else UNKNOWN for b, k in zip(best, known)],
-                np.where(known, share, 0.0).tolist(),
-                [e if k else None for e, k in zip(least.tolist(), known)],
-                (known & (least <= usual[best])).tolist(),
-            )
-
-        return work
-
-    return with_results(frame, text, fields, make, keep)
+        return lambda texts: verdicts(models.entropies(texts, alphabet) if names else texts)
+
+    if not models.parts:
+        return with_results(frame, text, fields, make, keep)
+    kept = [c for c in (frame.columns if keep is None else keep) if c not in [name for name, _ in fields]]
+    found = _with_entropies(frame, models, text, kept).toDF(*[f"k{i}" for i in range(len(kept))], "entropies")
+    unknown = [np.nan] * len(names)
+    made = with_results(found, "entropies", fields, lambda: lambda given: verdicts(np.array([e or unknown for e in given])), found.columns[:-1])
+    return made.toDF(*kept, *[name for name, _ in fields])

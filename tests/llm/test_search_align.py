@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -291,3 +292,76 @@ def test_most_frequent_sequences_are_kept(spark):
     kept = language_id._most_frequent(counts, 100).collect()
     assert sum(r["n"] == 2 for r in kept) == 30 and 60 < sum(r["lang"] == "en" for r in kept) < 140
     assert any(r["lang"] == "fr" for r in kept)
+
+
+def test_every_labelled_text_is_learned(spark):
+    """Each text has a letter of its own, and all letters are known afterwards."""
+    rows = [(i, f"some text {chr(0x4E00 + i)}", "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs)
+    assert len(models.levels[0].keys) == len({c for _, text, _ in rows for c in text})
+
+
+def sequences_of(texts):
+    sequence, places, _ = language_id.Alphabet().sequences(texts)
+    rows = np.stack([sequence[places - b] for b in range(language_id.ORDER - 1, -1, -1)], axis=1)
+    return np.unique(rows, axis=0, return_counts=True)
+
+
+def test_thresholds_come_from_every_labelled_text(spark, tongues, monkeypatch):
+    rows = [(i, tongues(name, 12), name) for i, name in enumerate(["aa", "bb", "cc"] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    halves = [[], []]
+    for r in docs.withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))).collect():
+        halves[r["half"]].append((r["lang"], r["text"]))
+    own = {name: [] for name in ("aa", "bb", "cc")}
+    for half, others in (halves, halves[::-1]):
+        models = language_id.fitted({name: sequences_of([t for n, t in others if n == name]) for name in own})
+        for name, text in half:
+            own[name].append(models.entropies([text], language_id.Alphabet())[0, models.languages.index(name)])
+    for buffer in (1_000_000, 10):
+        monkeypatch.setattr(language_id, "RANK_BUFFER", buffer)
+        usual = language_id.train(docs).usual
+        for name, found in own.items():
+            wanted = np.quantile(found, language_id.USUAL) * (1 + language_id.SLACK)
+            assert len(found) == 60 and usual[name] == pytest.approx(wanted)
+
+
+def test_models_in_parts_score_like_whole_ones(spark, tongues, monkeypatch):
+    rows = [(i, tongues(name, 12), name) for i, name in enumerate(["aa", "bb", "cc"] * 40)]
+    rows += [(200, "Щука zß 語", None), (201, "", None), (202, None, None), (203, "12 !?", None), (204, rows[0][1], None), (205, "q", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS entropies", "2 AS `a.b`")
+    whole = language_id.train(docs)
+    wanted = {r["doc_id"]: r for r in language_id.with_language(docs, whole).collect()}
+    for largest, together in ((60, 16), (10_000, 2)):
+        monkeypatch.setattr(language_id, "LARGEST", largest)
+        monkeypatch.setattr(language_id, "TOGETHER", together)
+        models = language_id.train(docs)
+        assert len(models.parts) > 1 and not models.levels
+        assert models.sharpness == whole.sharpness and models.usual == pytest.approx(whole.usual)
+        made = language_id.with_language(docs, models)
+        assert made.columns == [*docs.columns, "lang_pred", "score", "cross_entropy", "accepted"]
+        found = made.collect()
+        assert len(found) == len(rows)
+        for r in found:
+            other = wanted[r["doc_id"]]
+            assert (r["text"], r["lang"], r["lang_pred"], r["accepted"], r["a.b"]) == (*(other[c] for c in ("text", "lang", "lang_pred", "accepted")), 2)
+            assert r["score"] == pytest.approx(other["score"]) and r["cross_entropy"] == pytest.approx(other["cross_entropy"])
+
+
+@pytest.mark.parametrize("room", [1, 40, 10_000])
+def test_counts_of_a_task_are_whole(room, tongues, monkeypatch):
+    monkeypatch.setattr(language_id, "PART", 50)
+    rows = [(name, tongues(name, 3), i % 2) for i, name in enumerate(["aa", "bb"] * 30)]
+    rows += [("bb", tongues("bb", 40) + " " * 120 + "ung", 1), ("aa", "12 !?", 0)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("lang", "text", "half"), r)) for r in rows[k : k + 7]]) for k in range(0, len(rows), 7)]
+    found = Counter()
+    for batch in language_id._counted(iter(batches), room):
+        for r in batch.to_pylist():
+            found[r["lang"], r["gram"]] += np.array([r["n0"], r["n1"]])
+    wanted = Counter()
+    for name, text, half in rows[:-1]:
+        grams, counts = sequences_of([text])
+        for g, n in zip(grams.tolist(), counts.tolist()):
+            wanted[name, "".join(map(chr, g))] += np.array([n, 0] if half == 0 else [0, n])
+    assert {k: v.tolist() for k, v in found.items()} == {k: v.tolist() for k, v in wanted.items()}
